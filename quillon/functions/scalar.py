@@ -39,7 +39,7 @@ def wrap_text(text: Column, width: int = 20, lines: int = 5) -> Column:
 def region_part(region: Column) -> Column:
     """chr:start-end as a struct (chrom, start, end)."""
     pattern = r"^(.*):(\d+)-(\d+)$"
-    return F.struct(F.regexp_extract(region, pattern, 1).alias("chrom"), F.regexp_extract(region, pattern, 2).cast("long").alias("start"), F.regexp_extract(region, pattern, 3).cast("long").alias("end"))
+    return F.struct(F.regexp_extract(region, pattern, 1).alias("chrom"), F.regexp_extract(region, pattern, 2).try_cast("long").alias("start"), F.regexp_extract(region, pattern, 3).try_cast("long").alias("end"))
 
 
 def gauss_kernel(distance: Column, sigma: float = 1.0) -> Column:
