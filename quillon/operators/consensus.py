@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import overlap_pairs
+from .intervals import clusters, overlap_pairs
 
 
 def normalise_peaks(peaks: DataFrame, infer_center: bool = False, force_unstranded: bool = False) -> DataFrame:
@@ -34,18 +34,17 @@ def separators(peaks: DataFrame, sigma: float, per_peak: float | None = None) ->
     per_peak: each summit has its own sigma, this share of its peak's width.
     """
     half = int(8 * sigma) // 2 + 1
-    order = Window.partitionBy("strand", "chrom").orderBy("summit")
     wide = F.lit(half) if per_peak is None else (4 * per_peak * (F.col("end") - F.col("start"))).cast("long") + 1
-    cut = peaks.withColumn("lo", F.col("summit") - wide).withColumn("hi", F.col("summit") + wide)
-    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    cut = cut.withColumn("head", F.when(reach.isNull() | (F.col("lo") > reach), F.col("summit")))
-    cut = cut.withColumn("island", F.max("head").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    counted = cut.groupBy("strand", "chrom", "island", "summit", (F.col("end") - F.col("start")).alias("width") if per_peak is not None else F.lit(0).alias("width")).agg(F.count("*").alias("n"))
+    width = (F.col("end") - F.col("start") if per_peak is not None else F.lit(0)).alias("width")
+    reach = peaks.select("strand", "chrom", "summit", width, (F.col("summit") - wide).alias("start"), (F.col("summit") + wide).alias("end"))
+    cut = clusters(reach, ("strand", "chrom"), 64 * half).withColumnRenamed("head", "island")
+    counted = cut.groupBy("strand", "chrom", "island", "summit", "width").agg(F.count("*").alias("n"))
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.concat([one(x) for _, x in pdf.groupby("island", sort=False)])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["summit", "width"])
         at, n = pdf["summit"].to_numpy(np.int64), pdf["n"].to_numpy(float)
         s = np.full(len(at), float(sigma)) if per_peak is None else np.maximum(per_peak * pdf["width"].to_numpy(float), 1.0)
         side = np.full(len(at), half - 1) if per_peak is None else (4 * s).astype(np.int64)
@@ -54,7 +53,7 @@ def separators(peaks: DataFrame, sigma: float, per_peak: float | None = None) ->
         for p, w, sd, h in zip(at, n, s, side, strict=True):
             x = np.arange(-h, h + 1)
             density[p - h - low : p + h + 1 - low] += w * np.exp(-0.5 * (x / sd) ** 2) / (1.0 if per_peak is None else sd)
-        seps = low + _minima(density)
+        seps = low + _minima(np.round(density, 10))  # sums of equal terms are equal
         return pd.DataFrame({"strand": pdf["strand"].iloc[0], "chrom": pdf["chrom"].iloc[0], "sep": seps})
 
     return counted.groupBy("strand", "chrom", F.floor(F.col("island") / (1024 * half)).alias("stretch")).applyInPandas(find, "strand string, chrom string, sep long")
@@ -107,8 +106,6 @@ def greedy_suppression(peaks: DataFrame, min_overlap: int = 2, tile: int = 4096)
     Only peaks of one chain of overlapping intervals can take each other, so a task walks whole chains: those whose
     heads lie in one stretch of 16 tiles.
     """
-    from .intervals import clusters
-
     chains = clusters(peaks, ("strand", "chrom"), tile)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:

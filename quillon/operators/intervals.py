@@ -89,10 +89,18 @@ def nearest(query: DataFrame, points: DataFrame, max_dist: float | None = None,
 
 
 def label_by_nearest(query: DataFrame, points: DataFrame, order: list[str], max_dist: float | None = 1_000_000, width: int = 1024) -> DataFrame:
-    """query with label gene__k, k counting a gene's regions in the given order."""
+    """query with label gene__k, k counting a gene's regions in the given order.
+
+    Regions are counted within the first column of the order (the chromosome, say), and that count starts from the
+    number of the gene's regions before it: regions near no gene, which all have one name, are many tasks' work.
+    """
     named = nearest(query, points, max_dist, width)
-    k = F.row_number().over(Window.partitionBy("gene").orderBy(*order))
-    return named.withColumn("label", F.concat_ws("__", "gene", k.cast("string")))
+    lead = order[0]
+    part = named.groupBy("gene", lead).agg(F.count("*").alias("_n"))
+    start = part.select(F.col("gene").alias("_g"), F.col(lead).alias("_l"), (F.sum("_n").over(Window.partitionBy("gene").orderBy(lead)) - F.col("_n")).alias("_start"))
+    k = F.row_number().over(Window.partitionBy("gene", lead).orderBy(*order))
+    counted = named.withColumn("_k", k).join(start, (F.col("gene") == F.col("_g")) & F.col(lead).eqNullSafe(F.col("_l")))
+    return counted.withColumn("label", F.concat_ws("__", "gene", (F.col("_start") + F.col("_k")).cast("string"))).drop("_k", "_g", "_l", "_start")
 
 
 def clusters(df: DataFrame, by: tuple[str, ...] = ("chrom",), tile: int = 4096) -> DataFrame:
@@ -117,8 +125,16 @@ def merge_overlapping(df: DataFrame, min_count: int = 2, by: tuple[str, ...] = (
     return clusters(df, by, tile).groupBy(*by, "head").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).where(F.col("n") >= min_count).drop("head")
 
 
-def coverage(df: DataFrame) -> DataFrame:
-    """(chrom, start, end, depth): maximal stretches by how many intervals cover them, depth over 0."""
-    events = df.select("chrom", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("step")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("step")))).alias("e")).groupBy("chrom", F.col("e.pos").alias("pos")).agg(F.sum("e.step").alias("step")).where("step <> 0")
-    order = Window.partitionBy("chrom").orderBy("pos")
-    return events.select("chrom", F.col("pos").alias("start"), F.lead("pos").over(order).alias("end"), F.sum("step").over(order).alias("depth")).where("depth > 0")
+def coverage(df: DataFrame, tile: int = 4096) -> DataFrame:
+    """(chrom, start, end, depth): maximal stretches by how many intervals cover them, depth over 0.
+
+    Depth runs along a chromosome tile by tile: a tile starts from the sum of all steps before it.
+    """
+    steps = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("step")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("step"))))
+    events = df.select("chrom", steps.alias("e")).groupBy("chrom", F.col("e.pos").alias("pos")).agg(F.sum("e.step").alias("step")).where("step <> 0").withColumn("_tile", F.floor(F.col("pos") / tile))
+    order = Window.partitionBy("chrom").orderBy("_tile")
+    per_tile = events.groupBy("chrom", "_tile").agg(F.sum("step").alias("_s"), F.min("pos").alias("_p"))
+    carry = per_tile.select("chrom", "_tile", (F.sum("_s").over(order) - F.col("_s")).alias("_before"), F.lead("_p").over(order).alias("_next"))
+    within = Window.partitionBy("chrom", "_tile").orderBy("pos")
+    placed = events.join(carry, ["chrom", "_tile"])
+    return placed.select("chrom", F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(within), "_next").alias("end"), (F.sum("step").over(within) + F.col("_before")).alias("depth")).where("depth > 0")
