@@ -116,7 +116,7 @@ def clusters(df: DataFrame, by: tuple[str, ...] = ("chrom",), tile: int = 4096)
     own = F.max("end").over(Window.partitionBy(*keys, "_tile").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     cut = cut.withColumn("_reach", F.greatest("_before", own)).withColumn("_head", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach")), F.col("start")))
     heads = cut.groupBy(*keys, "_tile").agg(F.max("_head").alias("_h")).select(*keys, "_tile", F.max("_h").over(upto).alias("_carried"))
-    within = Window.partitionBy(*keys, "_tile").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*keys, "_tile").orderBy("start", "end")  # up to the last of equal intervals: they share a head
     return cut.join(heads, [*keys, "_tile"]).withColumn("head", F.coalesce(F.max("_head").over(within), "_carried")).select(*df.columns, "head")
 
 
