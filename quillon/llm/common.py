@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import getpass
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step handles; a longer single text is a step of its own.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: doc_id used in place of null: null ids sort before every other id.
 NULL_ID = np.iinfo(np.int64).min
 
@@ -58,6 +61,29 @@ def shuffle_width(df: DataFrame) -> int:
 
 # ---------------------------------------------------------------- Arrow
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with texts handed to Python by the thousand rows at most: documents are longer than most rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > 1000 or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, "1000")
+    return spark
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving memory back when a task ends: Python workers outlive tasks."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other platforms than glibc's
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return inner
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all strings end to end, and each string's start in them (one more at the end); null is empty."""
     if isinstance(column, pa.ChunkedArray):

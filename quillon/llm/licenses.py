@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import flat, gram_hash, span_hash, steps
+from .common import flat, gram_hash, span_hash, steps, tidy
 
 # Names and the notices by which works state these licences.
 TEMPLATES: list[tuple[str, str]] = [
@@ -130,4 +130,4 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
                     names=[key, "license", "units", "score"],
                 )
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, license string, units long, score double")
+    return docs.select(key, text).mapInArrow(tidy(run), f"{key} {docs.schema[key].dataType.simpleString()}, license string, units long, score double")

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bestfit, bpe, configuration, encoding, hamming, langid, licenses, simhash, substring, urlfilter
+from .common import small_batches
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

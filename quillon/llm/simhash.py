@@ -17,13 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob_schema, gather, materialize, scatter, shuffle_width, steps
+from .common import blob_schema, gather, materialize, scatter, shuffle_width, steps, tidy
 from .components import connected_components, forest
 
 _U = np.uint64
 LOW = _U(0xFFFFFFFF)
 #: Distinct fingerprints under one segment value from which its keys are split.
 HOT = 1024
+#: Fingerprints whose signatures a task deals out at a time.
+EMITTED = 10_000
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -55,7 +57,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, text: str =
                 fps = [0 if t is None else fingerprint(t.encode(), shingle, seed) for t in b.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(key), pa.array(np.array(fps, _U).view(np.int64))], names=[key, "fp"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, fp long")
+    return docs.select(key, text).mapInArrow(tidy(run), f"{key} {docs.schema[key].dataType.simpleString()}, fp long")
 
 
 def _key(segment: int, pos: np.ndarray | int, value: np.ndarray) -> np.ndarray:
@@ -128,18 +130,29 @@ def near_edges(distinct: DataFrame, distance: int = 2) -> DataFrame:
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * 66 // 4_000_000 + 1)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column(0).to_numpy().view(_U)
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            fp = np.concatenate(held)
             key, row = keys_of(fp, split.value, distance)
             bucket = ((key * _U(0xD6E8FEB86659FD93)) >> _U(33)).astype(np.int64) % width
             yield from scatter(bucket, width, {"key": key, "fp": fp[row]})
 
+        for batch in batches:
+            held.append(batch.column(0).to_numpy().view(_U))
+            size += batch.num_rows
+            if size >= EMITTED:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in gather(batches, {"key": "u8", "fp": "u8"}).values():
             a, b = _near(cols["key"], cols["fp"], distance)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    return distinct.mapInArrow(emit, blob_schema(["key", "fp"])).repartitionById(width, F.col("bucket")).mapInArrow(meet, "a long, b long")
+    return distinct.mapInArrow(tidy(emit), blob_schema(["key", "fp"])).repartitionById(width, F.col("bucket")).mapInArrow(tidy(meet), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -19,12 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob_schema, flat, gather, gram_hash, id_column, ids_of, scatter, shuffle_width, span_hash, steps, word_bounds
+from .common import blob_schema, flat, gather, gram_hash, id_column, ids_of, scatter, shuffle_width, span_hash, steps, tidy, word_bounds
 
 _U = np.uint64
 SEED_WORDS = 8
 #: Entries that a map task combines at a time.
-COMBINE = 1_500_000
+COMBINE = 1_000_000
 
 
 def _grams(column: pa.Array, window: int, seed: int, long: bool) -> tuple[np.ndarray, ...]:
@@ -149,7 +149,7 @@ def repeated_runs(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS, tex
             keep = times[np.searchsorted(value, one["h"])] > 1
             yield _runs(*(one[c][keep] for c in ("doc", "mark", "pos", "n")))
 
-    open_runs = docs.mapInArrow(seeds, blob_schema(_SEEDS)).repartitionById(width, F.col("bucket")).mapInArrow(shared, _RUN)
+    open_runs = docs.mapInArrow(tidy(seeds), blob_schema(_SEEDS)).repartitionById(width, F.col("bucket")).mapInArrow(tidy(shared), _RUN)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
@@ -184,7 +184,7 @@ def repeated_runs(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS, tex
             later = order[~first]
             yield _runs(*_compact(w["doc"][later], w["mark"][later], w["pos"][later]))
 
-    return _with_runs(docs, open_runs, "inner").mapInArrow(windows, blob_schema(_WINDOWS)).repartitionById(width, F.col("bucket")).mapInArrow(meet, _RUN)
+    return _with_runs(docs, open_runs, "inner").mapInArrow(tidy(windows), blob_schema(_WINDOWS)).repartitionById(width, F.col("bucket")).mapInArrow(tidy(meet), _RUN)
 
 
 def _firsts(h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +271,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS, te
                 rest = [b.column(f"extra_{i}") for i in range(len(extra))]
                 yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(texts, column.type), *rest, pa.array(count), pa.array(gone)], names=["doc", "text", *(f"extra_{i}" for i in range(len(extra))), "n_words", "n_removed"])
 
-    out = joined.mapInArrow(cut, "doc long, text string, " + (kinds + ", " if extra else "") + "n_words long, n_removed long")
+    out = joined.mapInArrow(tidy(cut), "doc long, text string, " + (kinds + ", " if extra else "") + "n_words long, n_removed long")
     names = {text: "text", key: "doc"} | {c: f"extra_{i}" for i, c in enumerate(extra)}
     kept = [c for c in docs.columns if c in names]
     return out.select(*[F.col(names[c]).cast(docs.schema[c].dataType).alias(c) for c in kept], "n_words", "n_removed")
