@@ -134,17 +134,18 @@ def nb_sf(x: np.ndarray, mean: np.ndarray, alpha: np.ndarray) -> np.ndarray:
 
 def hypergeometric_sf(k: np.ndarray, total: np.ndarray, good: np.ndarray, drawn: np.ndarray) -> np.ndarray:
     """P(X >= k) when `drawn` of `total` are drawn without replacement and `good` count; 1 where k <= 0."""
-    out = np.ones(len(k))
-    for i, (x, m, g, n) in enumerate(zip(k, total, good, drawn, strict=True)):
-        low, high = max(0, int(n + g - m)), int(min(g, n))
+    asked, back = np.unique(np.stack([np.asarray(x, np.int64) for x in np.broadcast_arrays(k, total, good, drawn)]), axis=1, return_inverse=True)
+    out = np.ones(asked.shape[1])
+    for i, (x, m, g, n) in enumerate(asked.T.tolist()):
+        low, high = max(0, n + g - m), min(g, n)
         if x <= low:
             continue
         if x > high:
             out[i] = 0.0
             continue
-        j = np.arange(int(x), high + 1, dtype=float)
+        j = np.arange(x, high + 1, dtype=float)
         out[i] = min(1.0, float(np.exp(_log_choose(g, j) + _log_choose(m - g, n - j) - _log_choose(m, np.array([float(n)]))).sum()))
-    return out
+    return out[back.ravel()]
 
 
 def _log_choose(n: float, k: np.ndarray) -> np.ndarray:

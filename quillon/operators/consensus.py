@@ -41,20 +41,20 @@ def separators(peaks: DataFrame, sigma: float, per_peak: float | None = None) ->
     counted = cut.groupBy("strand", "chrom", "island", "summit", "width").agg(F.count("*").alias("n"))
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([one(x) for _, x in pdf.groupby("island", sort=False)])
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["summit", "width"])
-        at, n = pdf["summit"].to_numpy(np.int64), pdf["n"].to_numpy(float)
-        s = np.full(len(at), float(sigma)) if per_peak is None else np.maximum(per_peak * pdf["width"].to_numpy(float), 1.0)
+        pdf = pdf.sort_values(["island", "summit", "width"])
+        at, n, width = (pdf[c].to_numpy(np.int64) for c in ("summit", "n", "width"))
+        s = np.full(len(at), float(sigma)) if per_peak is None else np.maximum(per_peak * width, 1.0)
         side = np.full(len(at), half - 1) if per_peak is None else (4 * s).astype(np.int64)
-        low, high = int((at - side).min()) - 1, int((at + side).max()) + 1
-        density = np.zeros(high - low + 1)
-        for p, w, sd, h in zip(at, n, s, side, strict=True):
-            x = np.arange(-h, h + 1)
-            density[p - h - low : p + h + 1 - low] += w * np.exp(-0.5 * (x / sd) ** 2) / (1.0 if per_peak is None else sd)
-        seps = low + _minima(np.round(density, 10))  # sums of equal terms are equal
-        return pd.DataFrame({"strand": pdf["strand"].iloc[0], "chrom": pdf["chrom"].iloc[0], "sep": seps})
+        kernels = {(sd, h): np.exp(-0.5 * (np.arange(-h, h + 1) / sd) ** 2) / (1.0 if per_peak is None else sd) for sd, h in set(zip(s.tolist(), side.tolist(), strict=True))}
+        first = np.flatnonzero(np.concatenate([[True], np.diff(pdf["island"].to_numpy(np.int64)) != 0]))
+        found = []
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(at)], strict=True):
+            low, high = int((at[lo:hi] - side[lo:hi]).min()) - 1, int((at[lo:hi] + side[lo:hi]).max()) + 1
+            density = np.zeros(high - low + 1)
+            for p, w, sd, h in zip(at[lo:hi].tolist(), n[lo:hi].tolist(), s[lo:hi].tolist(), side[lo:hi].tolist(), strict=True):
+                density[p - h - low : p + h + 1 - low] += w * kernels[sd, h]
+            found.append(low + _minima(np.round(density, 10)))  # sums of equal terms are equal
+        return pd.DataFrame({"strand": pdf["strand"].iloc[0], "chrom": pdf["chrom"].iloc[0], "sep": np.concatenate(found)})
 
     return counted.groupBy("strand", "chrom", F.floor(F.col("island") / (1024 * half)).alias("stretch")).applyInPandas(find, "strand string, chrom string, sep long")
 
