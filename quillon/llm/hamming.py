@@ -3,7 +3,8 @@
 A 64-bit code is cut into segments, and every distinct code is indexed under each of its segments. A round
 of radius r probes all segment values at exactly r bits from the query's. After it every code within
 segments * (r + 1) - 1 bits has met the query in some segment, so a query ends once its k-th verified
-distance is within that; the others go on to the next radius.
+distance is within that; the others go on to the next radius, where nothing farther than the k-th distance
+so far is taken.
 """
 
 from __future__ import annotations
@@ -43,17 +44,18 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
     distinct = materialize(few.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
     total = distinct.agg(F.sum(F.size("ids"))).first()[0] or 0
     index = materialize(distinct.select("code", "ids", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), _segment("code", s, bits).alias("val")) for s in range(segments)])).alias("x")).select("code", "ids", "x.seg", "x.val"), "segments")
-    active = materialize(queries.where("query_id is not null and code is not null").select("query_id", F.col("code").alias("asked")).distinct(), "queries")
+    active = materialize(queries.where("query_id is not null and code is not null").select("query_id", F.col("code").alias("asked"), F.lit(None).cast("int").alias("bound")).distinct(), "queries")
     found = ended = None
     top = Window.partitionBy("query_id").orderBy("distance", "id")
     for r in range(bits + 1):
         masks = F.split(F.lit(",".join(str(sum(1 << b for b in c)) for c in combinations(range(bits), r))), ",").cast("array<bigint>")
-        probes = active.select("query_id", "asked", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), _segment("asked", s, bits).alias("own")) for s in range(segments)])).alias("x")).select("query_id", "asked", "x.seg", "x.own")
+        probes = active.select("query_id", "asked", "bound", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), _segment("asked", s, bits).alias("own")) for s in range(segments)])).alias("x")).select("query_id", "asked", "bound", "x.seg", "x.own")
         probes = probes.withColumn("mask", F.explode(masks))
-        met = probes.select("query_id", "asked", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val")).join(index, ["seg", "val"])
+        met = probes.select("query_id", "asked", "bound", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val")).join(index, ["seg", "val"])
         gap = F.col("asked").bitwiseXOR(F.col("code"))
         # a code is taken where it is met first: no segment before is within r, none after within r - 1
-        first = F.lit(True)
+        # and only if it is no farther than the k-th found so far
+        first = F.coalesce(F.bit_count(gap) <= F.col("bound"), F.lit(True))
         for s in range(segments):
             near = F.bit_count(F.shiftrightunsigned(gap, s * bits).bitwiseAND((1 << bits) - 1))
             first &= F.when(F.col("seg") > s, near > r).when(F.col("seg") < s, near >= r).otherwise(F.lit(True))
@@ -66,7 +68,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
         finished = state.where(over).select("query_id")
         part = found.join(finished, "query_id", "left_semi")
         ended = materialize(part if ended is None else ended.union(part), "ended")
-        active = materialize(active.join(finished, "query_id", "left_anti"), "queries")
+        bounds = state.where(F.col("n") >= k).select("query_id", F.col("far").alias("bound"))
+        active = materialize(active.drop("bound").join(finished, "query_id", "left_anti").join(bounds, "query_id", "left"), "queries")
         found = materialize(found.join(finished, "query_id", "left_anti"), "found")
         if active.isEmpty():
             break
