@@ -51,7 +51,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
         masks = F.split(F.lit(",".join(str(sum(1 << b for b in c)) for c in combinations(range(bits), r))), ",").cast("array<bigint>")
         probes = active.select("query_id", "asked", "bound", F.explode(F.array(*[F.struct(F.lit(s).alias("seg"), _segment("asked", s, bits).alias("own")) for s in range(segments)])).alias("x")).select("query_id", "asked", "bound", "x.seg", "x.own")
         probes = probes.withColumn("mask", F.explode(masks))
-        met = probes.select("query_id", "asked", "bound", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val")).join(index, ["seg", "val"])
+        met = probes.select("query_id", "asked", "bound", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val")).join(index.hint("merge"), ["seg", "val"])  # masks multiply the probes, which sizes do not foretell: no side is broadcast
         gap = F.col("asked").bitwiseXOR(F.col("code"))
         # a code is taken where it is met first: no segment before is within r, none after within r - 1
         # and only if it is no farther than the k-th found so far
