@@ -132,14 +132,14 @@ def category_fraction(dense: DataFrame, labels: DataFrame) -> DataFrame:
     return squared.select("category", "var_id", F.when(total > 0, F.col("msr") / total).otherwise(0.0).alias("fraction"))
 
 
-def raster(cells: DataFrame, rows: int, cols: int, most_rows: int, most_cols: int) -> DataFrame:
+def raster(cells: DataFrame, rows: int, cols: int, most_rows: int, most_cols: int, by: tuple[str, ...] = ()) -> DataFrame:
     """(x, y, value): a matrix (i, j, value) on a grid of at most most_rows x most_cols, each cell a weighted mean.
 
-    A value goes to the cell under it and the next ones in both directions, with weight 1 - |dx dy|.
+    by: columns of further axes, such as depth, each value of which has a grid of its own. A value goes to the cell under it and the next ones in both directions, with weight 1 - |dx dy|.
     """
     h, w = min(most_rows, rows), min(most_cols, cols)
     at = cells.withColumn("fx", F.lit(float(h)) * F.col("i") / rows).withColumn("fy", F.lit(float(w)) * F.col("j") / cols).withColumn("bx", F.floor("fx")).withColumn("by", F.floor("fy"))
     step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
-    to = at.withColumn("s", step).select((F.col("bx") + F.col("s.a")).alias("x"), (F.col("by") + F.col("s.b")).alias("y"), "fx", "fy", "value").where((F.col("x") < h) & (F.col("y") < w))
+    to = at.withColumn("s", step).select((F.col("bx") + F.col("s.a")).alias("x"), (F.col("by") + F.col("s.b")).alias("y"), "fx", "fy", "value", *by).where((F.col("x") < h) & (F.col("y") < w))
     weight = 1.0 - F.abs(F.col("x") - F.col("fx")) * F.abs(F.col("y") - F.col("fy"))
-    return to.groupBy("x", "y").agg((F.sum(F.col("value") * weight) / (1e-9 + F.sum(weight))).alias("value"))
+    return to.groupBy(*by, "x", "y").agg((F.sum(F.col("value") * weight) / (1e-9 + F.sum(weight))).alias("value"))
