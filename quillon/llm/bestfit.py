@@ -83,52 +83,52 @@ def pack(docs: DataFrame, vocabulary: str, most: int = 2048, end: int = 0, pad:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with bpe.task(vocabulary) as model:
-            context = TaskContext.get()
-            shard, made = context.partitionId() if context else 0, 0
-            held: list[tuple[np.ndarray, ...]] = []
-            size = 0
-
-            def flush() -> pa.RecordBatch:
-                tokens, key_of, piece, length = (np.concatenate(x) for x in zip(*held, strict=True))
-                start = np.cumsum(length) - length
-                sequence, offset, n = place(length, most)
-                ids = np.full(n * most, pad, "<u4")
-                positions = np.tile(np.arange(most, dtype="<u4"), n)
-                order = np.lexsort((offset, sequence))
-                used = np.bincount(sequence, length, n).astype(np.int64)
-                for i in order.tolist():
-                    at, k = int(sequence[i]) * most + int(offset[i]), int(length[i])
-                    ids[at : at + k] = tokens[start[i] : start[i] + k]
-                    positions[at : at + k] = np.arange(k)
-                for s in np.flatnonzero(used < most).tolist():
-                    positions[s * most + used[s] : (s + 1) * most] = np.arange(most - used[s])
-                bounds = np.searchsorted(sequence[order], np.arange(n + 1))
-                ends = (offset + length)[order]
-                cu = [[0, *ends[bounds[s] : bounds[s + 1]].tolist()] for s in range(n)]
-                lists = pa.array(bounds.astype(np.int32))
-                raw, pos = ids.reshape(n, most), positions.reshape(n, most)
-                return pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(made, made + n)), pa.array(used.astype(np.int32)),
-                        pa.array([x.tobytes() for x in raw], pa.binary()), pa.array(cu, pa.list_(pa.int32())), pa.array([x.tobytes() for x in pos], pa.binary()),
-                        pa.ListArray.from_arrays(lists, id_column(key_of[order])), pa.ListArray.from_arrays(lists, pa.array(piece[order].astype(np.int32))),
-                    ],
-                    names=["shard", "sequence", "n_tokens", "ids", "cu_seqlens", "positions", "docs", "pieces"],
-                )
-
-            for batch in batches:
-                for b in steps(batch, text, ENCODE_BYTES):
-                    tokens, off = document_tokens(model, b.column(text), end)
-                    row, piece, length = cuts(off, most)
-                    held.append((tokens, ids_of(b.column(key))[row], piece, length))
-                    size += len(tokens)
-                    if size >= POOL:
-                        out = flush()
-                        yield out
-                        made, held, size = made + out.num_rows, [], 0
-            if size:
-                yield flush()
+        model = bpe.load(vocabulary)  # chunks it has met in earlier tasks are known
+        context = TaskContext.get()
+        shard, made = context.partitionId() if context else 0, 0
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            tokens, key_of, piece, length = (np.concatenate(x) for x in zip(*held, strict=True))
+            start = np.cumsum(length) - length
+            sequence, offset, n = place(length, most)
+            ids = np.full(n * most, pad, "<u4")
+            positions = np.tile(np.arange(most, dtype="<u4"), n)
+            order = np.lexsort((offset, sequence))
+            used = np.bincount(sequence, length, n).astype(np.int64)
+            for i in order.tolist():
+                at, k = int(sequence[i]) * most + int(offset[i]), int(length[i])
+                ids[at : at + k] = tokens[start[i] : start[i] + k]
+                positions[at : at + k] = np.arange(k)
+            for s in np.flatnonzero(used < most).tolist():
+                positions[s * most + used[s] : (s + 1) * most] = np.arange(most - used[s])
+            bounds = np.searchsorted(sequence[order], np.arange(n + 1))
+            ends = (offset + length)[order]
+            cu = [[0, *ends[bounds[s] : bounds[s + 1]].tolist()] for s in range(n)]
+            lists = pa.array(bounds.astype(np.int32))
+            raw, pos = ids.reshape(n, most), positions.reshape(n, most)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(made, made + n)), pa.array(used.astype(np.int32)),
+                    pa.array([x.tobytes() for x in raw], pa.binary()), pa.array(cu, pa.list_(pa.int32())), pa.array([x.tobytes() for x in pos], pa.binary()),
+                    pa.ListArray.from_arrays(lists, id_column(key_of[order])), pa.ListArray.from_arrays(lists, pa.array(piece[order].astype(np.int32))),
+                ],
+                names=["shard", "sequence", "n_tokens", "ids", "cu_seqlens", "positions", "docs", "pieces"],
+            )
+
+        for batch in batches:
+            for b in steps(batch, text, ENCODE_BYTES):
+                tokens, off = document_tokens(model, b.column(text), end)
+                row, piece, length = cuts(off, most)
+                held.append((tokens, ids_of(b.column(key))[row], piece, length))
+                size += len(tokens)
+                if size >= POOL:
+                    out = flush()
+                    yield out
+                    made, held, size = made + out.num_rows, [], 0
+        if size:
+            yield flush()
 
     return docs.select(key, text).mapInArrow(tidy(run), "shard int, sequence long, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, docs array<long>, pieces array<int>")
 

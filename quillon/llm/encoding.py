@@ -25,13 +25,13 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with bpe.task(vocabulary) as model:
-            for batch in batches:
-                for b in steps(batch, text, ENCODE_BYTES):
-                    ids, off = model.encode(b.column(text))
-                    lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids, pa.int32()))
-                    decoded = pa.array([x.decode("utf-8", "replace") for x in _decoded(model, ids, off)], pa.string())
-                    yield pa.RecordBatch.from_arrays([b.column(key), lists, decoded], names=[key, "ids", "decoded"])
+        model = bpe.load(vocabulary)  # chunks it has met in earlier tasks are known
+        for batch in batches:
+            for b in steps(batch, text, ENCODE_BYTES):
+                ids, off = model.encode(b.column(text))
+                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids, pa.int32()))
+                decoded = pa.array([x.decode("utf-8", "replace") for x in _decoded(model, ids, off)], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(key), lists, decoded], names=[key, "ids", "decoded"])
 
     return docs.select(key, text).mapInArrow(tidy(run), f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>, decoded string")
 
@@ -43,19 +43,19 @@ def digests(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "do
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with bpe.task(vocabulary) as model:
-            digits = [b"%d," % i for i in range(len(model.text))]
-            lens = np.array([len(x) for x in digits], np.int64)
-            at, blob = np.cumsum(lens) - lens, np.frombuffer(b"".join(digits), np.uint8)
-            for batch in batches:
-                for b in steps(batch, text, ENCODE_BYTES):
-                    ids, off = model.encode(b.column(text))
-                    size = lens[ids]
-                    line = blob[ragged(at[ids], size)].tobytes()
-                    cut = np.concatenate([[0], np.cumsum(size)])[off]
-                    spelled = [hashlib.sha256(line[s : max(s, e - 1)]).hexdigest() for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-                    decoded = [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in _decoded(model, ids, off)]
-                    yield pa.RecordBatch.from_arrays([b.column(key), pa.array(np.diff(off)), pa.array(spelled, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        model = bpe.load(vocabulary)  # chunks it has met in earlier tasks are known
+        digits = [b"%d," % i for i in range(len(model.text))]
+        lens = np.array([len(x) for x in digits], np.int64)
+        at, blob = np.cumsum(lens) - lens, np.frombuffer(b"".join(digits), np.uint8)
+        for batch in batches:
+            for b in steps(batch, text, ENCODE_BYTES):
+                ids, off = model.encode(b.column(text))
+                size = lens[ids]
+                line = blob[ragged(at[ids], size)].tobytes()
+                cut = np.concatenate([[0], np.cumsum(size)])[off]
+                spelled = [hashlib.sha256(line[s : max(s, e - 1)]).hexdigest() for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                decoded = [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in _decoded(model, ids, off)]
+                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(np.diff(off)), pa.array(spelled, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(key, text).mapInArrow(tidy(run), f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

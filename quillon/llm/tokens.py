@@ -39,19 +39,19 @@ def token_pieces(docs: DataFrame, vocabulary: str, most: int = 2048, end: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with bpe.task(vocabulary) as model:
-            for batch in batches:
-                for b in steps(batch, text, ENCODE_BYTES):
-                    ids, off = document_tokens(model, b.column(text), end)
-                    row, piece, length = cuts(off, most)
-                    at = off[row] + piece * most
-                    raw = memoryview(ids.astype("<u4").tobytes())
-                    parts = [raw[4 * s : 4 * e] for s, e in zip(at.tolist(), (at + length).tolist(), strict=True)]
-                    cols = [b.column(key).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * most), pa.array(length), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
-                    names = [key, "piece", "start", "length", "ids_crc32"]
-                    if with_ids:
-                        cols.append(pa.array([bytes(x) for x in parts], pa.binary()))
-                        names.append("ids")
-                    yield pa.RecordBatch.from_arrays(cols, names=names)
+        model = bpe.load(vocabulary)  # chunks it has met in earlier tasks are known
+        for batch in batches:
+            for b in steps(batch, text, ENCODE_BYTES):
+                ids, off = document_tokens(model, b.column(text), end)
+                row, piece, length = cuts(off, most)
+                at = off[row] + piece * most
+                raw = memoryview(ids.astype("<u4").tobytes())
+                parts = [raw[4 * s : 4 * e] for s, e in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                cols = [b.column(key).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * most), pa.array(length), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                names = [key, "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    cols.append(pa.array([bytes(x) for x in parts], pa.binary()))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.select(key, text).mapInArrow(tidy(run), f"{key} {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
