@@ -414,7 +414,7 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert [n for n, _ in p.STAGES] == ["language ID", "SimHash near-dedup", "substring dedup", "best-fit packing"]
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     pred = {r["doc_id"]: r for r in langid.identify(docs, langid.learn(docs, ~queries.held_out())).collect()}
-    rows = [r for r in rows if pred[r[0]]["lang_pred"] != "und" and pred[r[0]]["score"] >= 0.5]
+    rows = [r for r in rows if pred[r[0]]["lang_pred"] != "und" and pred[r[0]]["score"] >= p.LEAST_SHARE]
     group = _components([i for i, _ in rows], [_fingerprint(t) for _, t in rows])
     rows = [r for r, g in zip(rows, group) if r[0] == g]
     kept = _cut([(i, t.split()) for i, t in rows])
