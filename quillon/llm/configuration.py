@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .tokens import token_pieces
 
 #: Pieces of one length that one salt numbers, about.
-RANKED = 200_000
+RANKED = 5_000
+#: Pieces that the driver places one by one, at most about twice as many.
+BEST_FIT = 150_000
 
 
 def _knapsack(lens: np.ndarray, worth: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,35 +102,43 @@ def best_fit_decreasing(lens: list[int], room: int) -> list[list[int]]:
 
 
 def plan(lens: np.ndarray, counts: np.ndarray, room: int) -> list[tuple[list[int], int]]:
-    """(lengths of one sequence, how many such sequences) for a histogram; every piece has its place exactly once."""
-    out: list[tuple[list[int], int]] = []
+    """(lengths of one sequence, how many such sequences) for a histogram; every piece has its place exactly once.
+
+    A fractional solution is rounded down at several scales: at a small one more short pieces are left to fill up the
+    sequences that best fit makes of the rest. The rounding with the fewest sequences stays.
+    """
     order = np.argsort(lens)
     lens, left = np.asarray(lens, np.int64)[order], np.asarray(counts, np.int64)[order].copy()
     whole = lens == room
+    out: list[tuple[list[int], int]] = []
     if whole.any():
         out.append(([room], int(left[whole][0])))
         left[whole] = 0
-    for _ in range(2):
-        on = np.flatnonzero(left)
-        before = int(left.sum())
-        if before < 2000:
-            break
-        use = fractional(lens[on], left[on], room)
-        ranked = sorted(use.items(), key=lambda x: (-int(lens[on[list(x[0])]].sum()), -x[1]))
-        for config, often in ranked:
-            kinds, times = np.unique(on[list(config)], return_counts=True)
-            n = min(int(often), int((left[kinds] // times).min()))
-            if n > 0 and int((lens[kinds] * times).sum()) >= 0.999 * room:  # what wastes more is left over for best fit
-                out.append((np.repeat(lens[kinds], times).tolist(), n))
-                left[kinds] -= n * times
-        if left.sum() > 0.9 * before:
-            break
+    on = np.flatnonzero(left)
+    if not len(on):
+        return out
+    use = fractional(lens[on], left[on], room)
+    # only configurations without waste: each takes one sequence off the least number that the rest can need
+    full = sorted((x for x in use.items() if int(lens[on[list(x[0])]].sum()) == room), key=lambda x: (-x[1], x[0]))
+    tried = [_rounded(lens, left, on, full, scale, room) for scale in (0.8, 0.5, 0.25, 0.1)]
+    return out + min(tried, key=lambda bins: sum(n for _, n in bins))
+
+
+def _rounded(lens: np.ndarray, counts: np.ndarray, on: np.ndarray, use: list[tuple[tuple[int, ...], float]], scale: float, room: int) -> list[tuple[list[int], int]]:
+    """The weights of `use` times scale, rounded down, and best fit for what they leave."""
+    out, left = [], counts.copy()
+    for config, often in use:
+        kinds, times = np.unique(on[list(config)], return_counts=True)
+        n = min(int(often * scale), int((left[kinds] // times).min()))
+        if n > 0:
+            out.append((np.repeat(lens[kinds], times).tolist(), n))
+            left[kinds] -= n * times
     # a large remainder is thinned evenly: best fit places a sample of it, and the pattern repeats
-    times = max(1, int(left.sum()) // 400_000)
+    times = int(left.sum()) // BEST_FIT
     while times > 1 and (left // times).sum() > 1000:
         out += [(b, times) for b in best_fit_decreasing(np.repeat(lens, left // times).tolist(), room)]
         left %= times
-        times = max(1, int(left.sum()) // 400_000)
+        times = int(left.sum()) // BEST_FIT
     return out + [(b, 1) for b in best_fit_decreasing(np.repeat(lens, left).tolist(), room)]
 
 
@@ -176,4 +186,4 @@ def pack(docs: DataFrame, vocabulary: str, most: int = 2048, end: int = 0, with_
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"{c} {pieces.schema[c].dataType.simpleString()}" for c in columns)
-    return ranked.select(*columns, (F.col("before") + F.col("nth")).cast("long").alias("rank")).mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.select(*columns, (F.col("before") + F.col("nth")).cast("long").alias("rank")).mapInArrow(tidy(place), f"{schema}, sequence_id long, offset long")
