@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Tasks that the captures of one host are dealt to.
+SALTS = 16
+
 
 def host_of(url: F.Column) -> F.Column:
     """Host of a URL in lower case, without user, port, `www.` and a last dot; null where there is none."""
@@ -33,8 +36,8 @@ def flag(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str
     longest such domain is named. URLs without a host (null, empty, odd) and captures with a null day are not
     listed. All rows stay, repeated ones too; columns of captures with one of the new names are replaced.
 
-    Intervals of a domain are one row: whatever the traffic of a host, each capture meets one row. A busy host is a
-    skewed side of a plain equi-join, which the session's adaptive execution splits.
+    Intervals of a host are one row: whatever its traffic, each capture meets one row. The captures of a host are dealt
+    to SALTS tasks, each with a copy of that row, so a busy host is not one task's work.
     """
     new = ("host", "is_listed", "matched_domain", "listed_from", "listed_to")
     held = captures.select(*[F.col(f"`{c}`") for c in captures.columns if c not in new]).withColumn("host", host_of(F.col(url)))
@@ -44,5 +47,7 @@ def flag(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str
     spans = F.struct((-F.length("domain")).alias("rank"), "domain", "valid_from", "valid_to")
     known = above.join(intervals(entries), "domain").groupBy(F.col("host").alias("_host")).agg(F.sort_array(F.collect_list(spans)).alias("_spans"))
     day = F.to_date(F.col(fetched))
-    out = held.join(known, held["host"] == known["_host"], "left").withColumn("_hit", F.when(F.size("_spans") > 0, F.try_element_at(F.filter("_spans", lambda x: (x["valid_from"] <= day) & (x["valid_to"].isNull() | (day < x["valid_to"]))), F.lit(1))))
+    salted = held.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    copies = known.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = salted.join(copies, (F.col("host") == F.col("_host")) & (F.col("_salt") == F.col("_copy")), "left").withColumn("_hit", F.when(F.size("_spans") > 0, F.try_element_at(F.filter("_spans", lambda x: (x["valid_from"] <= day) & (x["valid_to"].isNull() | (day < x["valid_to"]))), F.lit(1))))
     return out.select(*held.columns, F.col("_hit").isNotNull().alias("is_listed"), F.col("_hit.domain").alias("matched_domain"), F.col("_hit.valid_from").alias("listed_from"), F.col("_hit.valid_to").alias("listed_to"))
