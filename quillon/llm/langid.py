@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat, steps
+from .common import flat, steps, tidy
 
 #: Cells of the trigram table, and the script codes that follow them in counts.
 CELLS = 1 << 16
@@ -98,8 +98,8 @@ class LanguageModel:
         """Per word: a score in each language and its number of bytes; and each text's first word."""
         blob, s, e, index, first = _distinct(column)
         n = len(self.languages)
-        if not len(index):
-            return np.zeros((0, n), np.float32), np.zeros(0, np.int64), first
+        if not len(index) or not n:
+            return np.zeros((len(index), n), np.float32), (e - s)[index] if len(index) else np.zeros(0, np.int64), first
         total = np.zeros((len(blob) - 1, n))
         np.cumsum(self.table[_cells(blob)], axis=0, out=total[1:])
         score = total[e - 1] - total[s - 1]
@@ -112,14 +112,18 @@ class LanguageModel:
 def learn(docs: DataFrame, allowed: F.Column | None = None, per_language: int = LEARNED, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
     """A model of the languages of docs, from rows with a non-null language that `allowed` admits.
 
-    Of each language the `per_language` rows with the least hash of their key are used; that bound is the only
-    sampling there is.
+    Of each language the `per_language` rows with the least hash of their key are used (all, if it has fewer); that
+    bound is the only sampling there is.
     """
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull())
-    if allowed is not None:
-        rows = docs.where(allowed).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull())
-    least = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    chosen = rows.select("l", "k").withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= per_language).select("l", "k").distinct()
+    admitted = docs if allowed is None else docs.where(allowed)
+    rows = admitted.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull())
+    # the least hashes of a language of n rows lie under a share of the hash range that n gives: only those few rows meet
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n"))
+    hashed = rows.select("l", "k", F.xxhash64("k").alias("h"))
+    share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    few = hashed.join(F.broadcast(sizes), "l").where(share * F.col("n") <= per_language + 8 * per_language**0.5 + 32)
+    least = Window.partitionBy("l").orderBy("h", "k")
+    chosen = few.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= per_language).select("l", "k").distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -141,7 +145,7 @@ def learn(docs: DataFrame, allowed: F.Column | None = None, per_language: int =
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([l] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(t[at])], names=["l", "cell", "n"])
 
-    sums = rows.join(chosen.hint("broadcast"), ["k", "l"], "left_semi").select("t", "l").mapInArrow(count, "l string, cell int, n double").groupBy("l", "cell").agg(F.sum("n").alias("n"))
+    sums = rows.join(chosen.hint("broadcast"), ["k", "l"], "left_semi").select("t", "l").mapInArrow(tidy(count), "l string, cell int, n double").groupBy("l", "cell").agg(F.sum("n").alias("n"))
     got = sums.toPandas()  # at most CELLS + 16 rows a language
     languages = sorted(got["l"].unique().tolist())
     table, scripts = np.zeros((CELLS, len(languages))), np.zeros((len(languages), 16), bool)
@@ -256,7 +260,7 @@ def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, text
                 yield pa.RecordBatch.from_arrays(cols, names=[key, "lang_pred", "score", *["spans"] * spans])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, lang_pred string, score double" + ", spans array<struct<word:int,words:int,lang:string>>" * spans)
+    return docs.select(key, text).mapInArrow(tidy(run), f"{key} {kind}, lang_pred string, score double" + ", spans array<struct<word:int,words:int,lang:string>>" * spans)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "text") -> DataFrame:
@@ -275,4 +279,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, t
                 good = _has_letter(b.column(text), weight.sum(1)) & (weight.max(1) >= least * weight.sum(1)) & (k > 0)
                 yield b.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
