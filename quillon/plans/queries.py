@@ -568,12 +568,7 @@ def cca(t: Tables) -> DataFrame:
 
 @query()
 def layout_2d(t: Tables) -> DataFrame:
-    rows = t.rows.orderBy("id").limit(5000).toPandas()  # a layout is for what a plot can show
-    edges = graph.knn(t.rows, K).toPandas()
-    place = {v: i for i, v in enumerate(rows["id"])}
-    edges = edges[edges["src"].isin(place) & edges["dst"].isin(place)]
-    at = embedding.layout_2d(edges.assign(src=edges["src"].map(place), dst=edges["dst"].map(place)), np.stack(rows["vec"].to_numpy()), epochs=50)
-    return t.spark.createDataFrame(pd.DataFrame({"id": rows["id"], "x": at[:, 0], "y": at[:, 1]}))
+    return embedding.layout_rows(t.rows, graph.knn(t.rows, K), epochs=50)
 
 
 @query()

@@ -221,3 +221,18 @@ def test_streaming_counts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r["name"], r["n"]) for r in spark.sql("select name, n from counts_test").collect()] == [("a", 2)]
+
+
+def test_layout_places_every_row(spark, monkeypatch):
+    from quillon.plans import queries as plans
+
+    n = 5200
+    class Tables:
+        pass
+    t = Tables()
+    t.spark, t.rows = spark, spark.range(n).select((F.col("id") * 3).alias("id"), F.array((F.col("id") % 97).cast("double"), (F.col("id") / 97).cast("double")).alias("vec"))
+    monkeypatch.setattr(plans.graph, "knn", lambda rows, k: rows.select(F.col("id").alias("src"), F.pmod(F.col("id") + 3, F.lit(3 * n)).alias("dst"), F.lit(1).alias("rank"), F.lit(1.0).alias("distance")))
+    got = plans.layout_2d.__wrapped__(t).toPandas() if hasattr(plans.layout_2d, "__wrapped__") else plans.layout_2d(t).toPandas()
+    assert sorted(got["id"]) == list(range(0, 3 * n, 3)) and np.isfinite(got[["x", "y"]].to_numpy()).all()
+    with pytest.raises(ValueError):
+        embedding.layout_rows(t.rows, plans.graph.knn(t.rows, 1), most_edges=100)
