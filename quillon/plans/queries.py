@@ -474,7 +474,7 @@ def _model(t: Tables):
     features = whole.feature_major().join(means, "var_id")
     held = factors.join(t.obs, "obs_id").orderBy("ord").toPandas()  # a row for each observation
     exposure, design = np.maximum(held["size_factor"].to_numpy(float), 1e-9), np.ones((n, 1))
-    alphas = residuals.regularised_alpha(features, exposure, design, sample=200)
+    alphas = residuals.regularised_alpha(features, exposure, design)
     return features, alphas, held["obs_id"].tolist(), exposure, design
 
 

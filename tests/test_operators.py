@@ -236,3 +236,20 @@ def test_layout_places_every_row(spark, monkeypatch):
     assert sorted(got["id"]) == list(range(0, 3 * n, 3)) and np.isfinite(got[["x", "y"]].to_numpy()).all()
     with pytest.raises(ValueError):
         embedding.layout_rows(t.rows, plans.graph.knn(t.rows, 1), most_edges=100)
+
+
+def test_residual_queries_fit_the_default_sample(spark, sf_dir, monkeypatch):
+    import inspect
+
+    from quillon.plans import queries as plans
+
+    usual, asked = inspect.signature(residuals.regularised_alpha), []
+
+    def spy(*args, **named):
+        bound = usual.bind(*args, **named)
+        bound.apply_defaults()
+        asked.append(bound.arguments["sample"])
+
+    monkeypatch.setattr(residuals, "regularised_alpha", spy)
+    plans._model(plans.Tables(spark, sf_dir))
+    assert asked == [2000]
