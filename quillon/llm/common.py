@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step handles; a longer single text is a step of its own.
@@ -163,8 +164,10 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_powers = {b: _Powers(b) for b in (_BASE, _BASE2, _BASE3)}
-_LETTER = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=_U)
+_powers = {b: _Powers(b) for b in (_BASE2, _BASE3)}
+_LANES = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
+#: Bytes of a span up to which it is hashed in lanes, all spans at once.
+LONG_SPAN = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -175,18 +178,32 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[s:e] for each pair, by a polynomial over the whole array."""
-    up, down = _powers[_BASE].get(len(data) + 1)
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum(_LETTER[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + _U(0x1234567) * (ends - starts).astype(_U))
+    """A 64-bit hash of data[s:e] for each pair: eight bytes at a time through mix(); XXH3 for spans over LONG_SPAN bytes."""
+    n = ends - starts
+    h = mix(n.astype(_U) * _BASE + _U(0x1234567))
+    if not len(n):
+        return h
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    live = np.flatnonzero((n > 0) & (n <= LONG_SPAN))
+    for j in range(0, LONG_SPAN, 8):
+        live = live[n[live] > j] if j else live
+        if not len(live):
+            break
+        h[live] = mix((h[live] ^ (lanes[starts[live] + j] & _LANES[np.minimum(n[live] - j, 8)])) + _BASE)
+    for i in np.flatnonzero(n > LONG_SPAN).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]], 29)
+    return h
 
 
 def gram_hash(words: np.ndarray, k: int, second: bool = False) -> np.ndarray:
-    """A 64-bit hash of each k consecutive entries of words; entry i covers words[i:i+k]."""
+    """A 64-bit hash of each k consecutive entries of words; entry i covers words[i:i+k]. second: another one, of words mixed anew."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, _U)
+    if second:
+        words = mix(words ^ _BASE2)
     up, down = _powers[_BASE3 if second else _BASE2].get(len(words) + 1)
     total = np.zeros(len(words) + 1, _U)
     np.cumsum(words * up[: len(words)], out=total[1:])
@@ -202,8 +219,8 @@ def ragged(offsets: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- blob shuffles
 
-def scatter(part: np.ndarray, width: int, cols: dict[str, np.ndarray], kind: int = 0) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, kind, one binary per column): entries of one bucket stay together, in their order."""
+def scatter(part: np.ndarray, width: int, cols: dict[str, np.ndarray | None], kind: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, kind, one binary per column): entries of one bucket stay together, in their order. A column that is None is empty."""
     if not len(part):
         return
     order = np.argsort(part, kind="stable")
@@ -211,6 +228,9 @@ def scatter(part: np.ndarray, width: int, cols: dict[str, np.ndarray], kind: int
     full = np.flatnonzero(np.diff(bounds))
     arrays = [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), kind, np.int32))]
     for values in cols.values():
+        if values is None:
+            arrays.append(pa.array([b""] * len(full), pa.binary()))
+            continue
         values = values[order]
         arrays.append(pa.array([values[bounds[b] : bounds[b + 1]].tobytes() for b in full], pa.binary()))
     yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "kind", *cols])

@@ -1,10 +1,13 @@
-"""Repeated spans over word k-mers: edges of a De Bruijn graph that occur more than once, compacted into spans.
-
-Every window of `window` words is a k-mer edge. Most edges occur once, so they are pruned first: two equal
-windows have the same least hash among their inner `seed` -word grams (their minimiser), hence only runs of
-windows whose minimiser occurs twice anywhere can repeat. What is left meets by a 128-bit hash; a window that
-is not the first with its content, by (doc_id, start), is repeated, and consecutive ones compact into spans.
-Both exchanges combine in the map task first: content that repeats inside a task sends one entry, so a
+"""Repeated spans by De Bruijn compaction over word k-mers.
+
+Every window of `window` words is an edge. Most edges occur once, so they are pruned first: two equal windows have
+the same least hash among their inner `seed` -word grams (their minimiser), hence only windows whose minimiser occurs
+twice anywhere can repeat. What is left meets by a 96-bit hash, and each occurrence but the first, by (doc_id, start),
+is linked to the coordinate of an earlier one: its source. Edges that follow each other both in their text and in their
+source are a nonbranching path. Paths compact by joins: an edge (or a piece, where neighbours met in one task) without
+a predecessor is the head of a path, one without a successor its tail. At last the words of every path are
+compared with those at its source's coordinate, by a cryptographic digest of the words; only then do they go.
+Both exchanges of edges combine in the map task first: content that repeats inside a task sends one entry, so a
 passage that a third of all rows share costs one entry for each task.
 """
 
@@ -16,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import blob_schema, flat, gather, gram_hash, id_column, ids_of, scatter, shuffle_width, span_hash, steps, tidy, word_bounds
+from .common import blob_schema, flat, gather, gram_hash, ragged, scatter, shuffle_width, span_hash, steps, tidy, word_bounds
 
 _U = np.uint64
 SEED_WORDS = 8
@@ -27,15 +31,57 @@ SEED_WORDS = 8
 COMBINE = 1_000_000
 
 
+# ---------------------------------------------------------------- texts and their names
+
+def _texts(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, list[str]]:
+    """(doc long, mark long, text, extra_0 ...) and the names of the extra columns.
+
+    (doc, mark) names a text: its key and 32 bits of its hash, which tell texts of one key apart. Rows with a null key
+    have mark 0 and the text's 64-bit hash for doc, so they are as many names as texts, not one hot group.
+    """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be an integer column: earlier copies are those with smaller keys")
+    extra = [c for c in docs.columns if c not in (text, key, "n_words", "n_removed")]
+    body, k = F.col(f"`{text}`"), F.col(f"`{key}`").cast("long")
+    h = F.xxhash64(F.coalesce(body, F.lit("")))
+    mark = F.when(k.isNull(), F.lit(0).cast("long")).otherwise(h.bitwiseAND(0xFFFFFFFF).bitwiseOR(1))
+    named = docs.select(F.coalesce(k, h).alias("doc"), mark.alias("mark"), body.alias("text"), *[F.col(f"`{c}`").alias(f"extra_{i}") for i, c in enumerate(extra)])
+    return named, extra
+
+
+def _names(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return b.column("doc").to_numpy(), b.column("mark").to_numpy().astype(np.uint32)
+
+
+def _with_lists(texts: DataFrame, rows: DataFrame, fields: list[str], how: str) -> DataFrame:
+    """texts with the rows of their (doc, mark) as an array `found` of the given fields."""
+    grouped = rows.repartition("doc", "mark").groupBy("doc", "mark").agg(F.collect_list(F.struct(*fields)).alias("found"))
+    grouped = grouped.select(F.col("doc").alias("of_doc"), F.col("mark").alias("of_mark"), "found").hint("shuffle_hash")
+    return texts.join(grouped, (F.col("doc") == F.col("of_doc")) & (F.col("mark") == F.col("of_mark")), how).drop("of_doc", "of_mark")
+
+
+def _lists(found: pa.Array, fields: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """The row of every list entry, and the entries' fields."""
+    if isinstance(found, pa.ChunkedArray):
+        found = found.combine_chunks()
+    parent = np.repeat(np.arange(len(found)), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
+    inner = found.flatten()
+    return parent, [inner.field(i) for i in range(fields)]
+
+
+# ---------------------------------------------------------------- edges
+
 def _grams(column: pa.Array, window: int, seed: int, long: bool) -> tuple[np.ndarray, ...]:
-    """Per window: its text's row, start word, (place, hash) of its minimiser and, if `long`, two hashes."""
+    """Per window: its text's row, start word, (place, hash) of its minimiser or, if `long`, two hashes of the window."""
     data, off = flat(column)
     starts, ends, first = word_bounds(data, off)
     count = np.diff(first)
     words = span_hash(data, starts, ends)
     have = np.maximum(count - window + 1, 0)
-    at = ragged_starts(first[:-1], have)
+    at = ragged(first[:-1], have)
     row = np.repeat(np.arange(len(count)), have)
+    if long:
+        return row, at - first[row], gram_hash(words, window)[at] if len(at) else np.zeros(0, _U), (gram_hash(words, window, True)[at] if len(at) else np.zeros(0, _U)).astype(np.uint32)
     small = gram_hash(words, min(seed, window))
     span = window - min(seed, window) + 1
     low, reach = np.arange(len(small)), 1  # where the least gram is, the leftmost of equals
@@ -44,21 +90,7 @@ def _grams(column: pa.Array, window: int, seed: int, long: bool) -> tuple[np.nda
         a, b = low[: len(low) - skip], low[skip:]
         low = np.where(small[a] <= small[b], a, b)
         reach += skip
-    out = (row, at - first[row], (low[at], small[low[at]]) if len(at) else (at, np.zeros(0, _U)))
-    if not long:
-        return out
-    return *out, (gram_hash(words, window)[at], gram_hash(words, window, True)[at]) if len(at) else (np.zeros(0, _U), np.zeros(0, _U))
-
-
-def ragged_starts(first: np.ndarray, have: np.ndarray) -> np.ndarray:
-    skip = np.cumsum(have) - have
-    return np.arange(int(have.sum())) + np.repeat(first - skip, have)
-
-
-def _mark(column: pa.Array) -> np.ndarray:
-    """Tells texts with one doc_id apart."""
-    data, off = flat(column)
-    return (span_hash(data, off[:-1], off[1:]) >> _U(32)).astype(np.uint32)
+    return row, at - first[row], low[at] if len(at) else at, small[low[at]] if len(at) else np.zeros(0, _U)
 
 
 def _spread(h: np.ndarray, width: int) -> np.ndarray:
@@ -84,30 +116,17 @@ class _Held:
 
 SINGLE, MANY, KNOWN = 0, 1, 2
 _SEEDS = {"h": "u8", "doc": "i8", "mark": "u4", "pos": "i4", "n": "i4"}
-_WINDOWS = {"h": "u8", "g": "u8", "doc": "i8", "mark": "u4", "pos": "i4"}
-_RUN = "doc long, mark long, pos int, n int"
-
+_WINDOWS = {"h": "u8", "g": "u4", "doc": "i8", "mark": "u4", "pos": "i4", "n": "i4", "spos": "i4"}
+_PIECE = ["doc", "mark", "pos", "n", "sdoc", "smark", "spos"]
 
-def _runs(doc: np.ndarray, mark: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(mark.astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc", "mark", "pos", "n"])
 
+def _table(names: list[str], cols: list[np.ndarray]) -> pa.RecordBatch:
+    """Columns as long, but for positions and numbers, which are int."""
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32 if c in ("pos", "n", "spos") else np.int64)) for c, x in zip(names, cols, strict=True)], names=names)
 
-def _compact(doc: np.ndarray, mark: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Windows that follow each other in one text become (doc, mark, first position, number)."""
-    order = np.lexsort((pos, mark, doc))
-    doc, mark, pos = doc[order], mark[order], pos[order]
-    new = np.ones(len(pos), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (pos[1:] > pos[:-1] + 1)
-    at = np.flatnonzero(new)
-    return doc[at], mark[at], pos[at], pos[np.append(at[1:], len(pos)) - 1] - pos[at] + 1 if len(at) else pos[:0]
 
-
-def repeated_runs(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Runs (doc long, mark long, pos int, n int): the windows starting at words pos .. pos+n-1 of a text also start
-    earlier, in a smaller key or in the same key at an earlier word. doc: the key, NULL_ID for null; mark tells texts
-    of one key apart."""
-    docs = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    width = shuffle_width(docs)
+def _open_runs(texts: DataFrame, window: int, seed: int, width: int) -> DataFrame:
+    """(doc, mark, pos int, n int): runs of windows whose minimiser occurs twice; others cannot repeat."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Held()
@@ -122,18 +141,18 @@ def repeated_runs(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS, tex
             one, some = order[at[times == 1]], h[order[at[times > 1]]]
             one.sort()
             yield from scatter(_spread(h[one], width), width, {"h": h[one], "doc": doc[one], "mark": mark[one], "pos": pos[one], "n": n[one]}, SINGLE)
-            none = {c: np.zeros(len(some), t) for c, t in _SEEDS.items()}
-            yield from scatter(_spread(some, width), width, none | {"h": some}, MANY)
+            yield from scatter(_spread(some, width), width, {"h": some, "doc": None, "mark": None, "pos": None, "n": None}, MANY)
             known = np.sort(order[np.repeat(times > 1, times)])
-            yield from scatter(known % width, width, {"h": np.zeros(len(known), _U), "doc": doc[known], "mark": mark[known], "pos": pos[known], "n": n[known]}, KNOWN)
+            yield from scatter(known % width, width, {"h": None, "doc": doc[known], "mark": mark[known], "pos": pos[known], "n": n[known]}, KNOWN)
 
         for batch in batches:
             for b in steps(batch):
-                row, pos, (where, low) = _grams(b.column("text"), window, seed, False)
+                row, pos, where, low = _grams(b.column("text"), window, seed, False)
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (where[1:] != where[:-1])
                 at = np.flatnonzero(new)
-                held.add(low[at], ids_of(b.column("doc"))[row[at]], _mark(b.column("text"))[row[at]], pos[at].astype(np.int32), np.diff(np.append(at, len(row))).astype(np.int32))
+                doc, mark = _names(b)
+                held.add(low[at], doc[row[at]], mark[row[at]], pos[at].astype(np.int32), np.diff(np.append(at, len(row))).astype(np.int32))
                 if held.size >= COMBINE:
                     yield from flush()
         if held.size:
@@ -141,32 +160,73 @@ def repeated_runs(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS, tex
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = gather(batches, _SEEDS)
+        names = ["doc", "mark", "pos", "n"]
         if KNOWN in got:
-            yield _runs(*(got[KNOWN][c] for c in ("doc", "mark", "pos", "n")))
+            yield _table(names, [got[KNOWN][c] for c in names])
         if SINGLE in got:
             one = got[SINGLE]
             value, times = np.unique(np.concatenate([one["h"], *([got[MANY]["h"]] * 2 if MANY in got else [])]), return_counts=True)
             keep = times[np.searchsorted(value, one["h"])] > 1
-            yield _runs(*(one[c][keep] for c in ("doc", "mark", "pos", "n")))
+            yield _table(names, [one[c][keep] for c in names])
+
+    return texts.select("doc", "mark", "text").mapInArrow(tidy(seeds), blob_schema(_SEEDS)).repartitionById(width, F.col("bucket")).mapInArrow(tidy(shared), "doc long, mark long, pos int, n int")
+
 
-    open_runs = docs.mapInArrow(tidy(seeds), blob_schema(_SEEDS)).repartitionById(width, F.col("bucket")).mapInArrow(tidy(shared), _RUN)
+def _sources(h: np.ndarray, g: np.ndarray, doc: np.ndarray, mark: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the first one with its content, by null keys first, then doc, then position; and the entries that are first, each coordinate once."""
+    order = np.lexsort((mark, pos, doc, mark != 0, g, h))
+    h, g, doc, pos, mark = h[order], g[order], doc[order], pos[order], mark[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
+    first = (doc == doc[lead]) & (pos == pos[lead]) & ((mark != 0) == (mark[lead] != 0))
+    source = np.empty(len(order), np.int64)
+    source[order] = order[lead]
+    once = first.copy()
+    once[1:] &= ~(~new[1:] & (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1]) & (mark[1:] == mark[:-1]))
+    source[order[first]] = -1
+    return source, np.sort(order[once])
+
+
+def _pieces(source: np.ndarray, doc: np.ndarray, mark: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
+    """Entries with a source that follow each other in their text and in their source, as columns of _PIECE."""
+    at = np.flatnonzero(source >= 0)
+    at = at[np.lexsort((pos[at], mark[at], doc[at]))]
+    d, m, p, s = doc[at], mark[at], pos[at].astype(np.int64), source[at]
+    if len(at) > 1:  # rows that repeat whole
+        fresh = np.append(True, (d[1:] != d[:-1]) | (m[1:] != m[:-1]) | (p[1:] != p[:-1]))
+        d, m, p, s = d[fresh], m[fresh], p[fresh], s[fresh]
+    sd, sm, sp = doc[s], mark[s], pos[s].astype(np.int64)
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (m[1:] != m[:-1]) | (p[1:] != p[:-1] + 1) | (sd[1:] != sd[:-1]) | (sm[1:] != sm[:-1]) | (sp[1:] != sp[:-1] + 1)
+    i = np.flatnonzero(new)
+    return [d[i], m[i], p[i], np.diff(np.append(i, len(d))), sd[i], sm[i], sp[i]]
+
+
+def _linked(texts: DataFrame, window: int, seed: int) -> DataFrame:
+    """(doc, mark, pos, n, sdoc, smark, spos): the windows from word pos to pos+n-1 of a text have the words of those from spos of its source on."""
+    width = shuffle_width(texts)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held()
+        held, met = _Held(), set()
 
         def flush() -> Iterator[pa.RecordBatch]:
             h, g, doc, mark, pos = held.take()
-            order, first = _firsts(h, g, doc, pos)
-            later = order[~first]
-            yield from _known(later, doc, mark, pos, width)
-            one = np.sort(order[first])
-            yield from scatter(_spread(h[one], width), width, {"h": h[one], "g": g[one], "doc": doc[one], "mark": mark[one], "pos": pos[one]}, SINGLE)
+            source, one = _sources(h, g, doc, mark, pos)
+            d, m, p, n, sd, sm, sp = _pieces(source, doc, mark, pos)
+            yield from scatter(np.arange(len(d)) % width, width, {"h": sd.view(_U), "g": sm, "doc": d, "mark": m, "pos": p.astype(np.int32), "n": n.astype(np.int32), "spos": sp.astype(np.int32)}, KNOWN)
+            yield from scatter(_spread(h[one], width), width, {"h": h[one], "g": g[one], "doc": doc[one], "mark": mark[one], "pos": pos[one], "n": None, "spos": None}, SINGLE)
 
         for batch in batches:
             for b in steps(batch):
-                row, pos, _, (h, g) = _grams(b.column("text"), window, seed, True)
-                doc, mark = ids_of(b.column("doc")), _mark(b.column("text"))
-                keep = _wanted(b.column("runs"), mark, row, pos)
+                doc, mark = _names(b)
+                name = list(zip(doc.tolist(), mark.tolist(), strict=True))  # rows that repeat whole lie in one task
+                fresh = [i for i, x in enumerate(name) if x not in met and not met.add(x)]
+                if len(fresh) < b.num_rows:
+                    b = b.take(pa.array(fresh, pa.int64()))
+                    doc, mark = doc[fresh], mark[fresh]
+                row, pos, h, g = _grams(b.column("text"), window, seed, True)
+                keep = _wanted(b.column("found"), row)
                 held.add(h[keep], g[keep], doc[row[keep]], mark[row[keep]], pos[keep].astype(np.int32))
                 if held.size >= COMBINE:
                     yield from flush()
@@ -177,58 +237,94 @@ def repeated_runs(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS, tex
         got = gather(batches, _WINDOWS)
         if KNOWN in got:
             k = got[KNOWN]
-            yield _runs(k["doc"], k["mark"], k["pos"], k["h"].astype(np.int32))
+            yield _table(_PIECE, [k["doc"], k["mark"], k["pos"], k["n"], k["h"].view(np.int64), k["g"], k["spos"]])
         if SINGLE in got:
             w = got[SINGLE]
-            order, first = _firsts(w["h"], w["g"], w["doc"], w["pos"])
-            later = order[~first]
-            yield _runs(*_compact(w["doc"][later], w["mark"][later], w["pos"][later]))
-
-    return _with_runs(docs, open_runs, "inner").mapInArrow(tidy(windows), blob_schema(_WINDOWS)).repartitionById(width, F.col("bucket")).mapInArrow(tidy(meet), _RUN)
-
-
-def _firsts(h: np.ndarray, g: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by content, doc and position; and which entries of it have the least (doc, position) of their content."""
-    order = np.lexsort((pos, doc, g, h))
-    h, g, doc, pos = h[order], g[order], doc[order], pos[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
-    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(h) else np.zeros(0, np.int64)
-    return order, (doc == doc[lead]) & (pos == pos[lead])
+            source, _ = _sources(w["h"], w["g"], w["doc"], w["mark"], w["pos"])
+            yield _table(_PIECE, _pieces(source, w["doc"], w["mark"], w["pos"]))
 
+    joined = _with_lists(texts, _open_runs(texts, window, seed, width), ["pos", "n"], "inner")
+    return joined.mapInArrow(tidy(windows), blob_schema(_WINDOWS)).repartitionById(width, F.col("bucket")).mapInArrow(tidy(meet), "doc long, mark long, pos int, n int, sdoc long, smark long, spos int")
 
-def _known(later: np.ndarray, doc: np.ndarray, mark: np.ndarray, pos: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
-    """Spans that repeat inside this task, their length in h."""
-    d, m, p, n = _compact(doc[later], mark[later], pos[later])
-    yield from scatter(np.arange(len(d)) % width, width, {"h": n.astype(_U), "g": np.zeros(len(d), _U), "doc": d, "mark": m, "pos": p}, KNOWN)
 
-
-def _with_runs(docs: DataFrame, runs: DataFrame, how: str) -> DataFrame:
-    """docs (doc, text, ...) with the runs of their doc as an array; a null doc is NULL_ID there."""
-    grouped = runs.groupBy("doc").agg(F.collect_list(F.struct("mark", "pos", "n")).alias("runs"))
-    null = F.lit(-(1 << 63)).cast("long")
-    return docs.join(grouped.withColumnRenamed("doc", "run_doc").hint("shuffle_hash"), F.coalesce("doc", null) == F.col("run_doc"), how).drop("run_doc")
+def _wanted(found: pa.Array, row: np.ndarray) -> np.ndarray:
+    """Which windows (in order of row and position) lie in a run of their row."""
+    parent, (p, n) = _lists(found, 2)
+    p, n = p.to_numpy().astype(np.int64), n.to_numpy().astype(np.int64)
+    first = np.searchsorted(row, np.arange(len(found) + 1))
+    delta = np.zeros(len(row) + 1, np.int64)
+    np.add.at(delta, np.minimum(first[parent] + p, first[parent + 1]), 1)
+    np.add.at(delta, np.minimum(first[parent] + p + n, first[parent + 1]), -1)
+    return np.flatnonzero(np.cumsum(delta[:-1]) > 0)
 
 
-def _starts(runs: pa.Array, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every run that belongs to its row's text: row, first position, number."""
-    if isinstance(runs, pa.ChunkedArray):
-        runs = runs.combine_chunks()
-    parent = np.repeat(np.arange(len(runs)), pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False))
-    inner = runs.flatten()
-    m, p, n = (inner.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-    mine = m.astype(np.uint32) == mark[parent]
-    return parent[mine], p[mine].astype(np.int64), n[mine].astype(np.int64)
+# ---------------------------------------------------------------- paths
 
+def _paths(pieces: DataFrame) -> DataFrame:
+    """Pieces compacted along their paths: columns of _PIECE, but for the ends of paths nothing is left of a piece.
 
-def _wanted(runs: pa.Array, mark: np.ndarray, row: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Which windows (row, pos, in order) lie in a run of their row."""
-    first = np.searchsorted(row, np.arange(len(mark) + 1))
-    parent, p, n = _starts(runs, mark)
-    delta = np.zeros(len(row) + 1, np.int64)
-    np.add.at(delta, first[parent] + p, 1)
-    np.add.at(delta, first[parent] + p + n, -1)
-    return np.flatnonzero(np.cumsum(delta[:-1]) > 0)
+    A piece goes on in the one that starts where it ends, in the text and in the source. Pieces that nothing goes on
+    into are heads, those that go on into nothing tails: two anti-joins. Of a text and a diagonal (pos - spos) the
+    heads and tails alternate, so each head ends at the next tail.
+    """
+    name = ["doc", "mark", "sdoc", "smark", "diagonal"]
+    p = pieces.withColumn("diagonal", F.col("pos") - F.col("spos"))
+    begin, end = p.select(*name, F.col("pos").alias("at")), p.select(*name, (F.col("pos") + F.col("n")).alias("at"))
+    heads = begin.join(end, [*name, "at"], "left_anti").select(*name, "at", F.lit(1).alias("head"))
+    tails = end.join(begin, [*name, "at"], "left_anti").select(*name, "at", F.lit(0).alias("head"))
+    line = Window.partitionBy(*name).orderBy("at", "head")
+    ends = heads.union(tails).withColumns({
+        "stop": F.min(F.when(F.col("head") == 0, F.col("at"))).over(line.rowsBetween(1, Window.unboundedFollowing)),
+        "start": F.max(F.when(F.col("head") == 1, F.col("at"))).over(line.rowsBetween(Window.unboundedPreceding, -1)),
+        "after": F.lag("head").over(line),
+    })
+    # a tail that follows a tail belongs to the last head too: only where rows that repeat whole were linked apart
+    ends = ends.where("head = 1 or after = 0")
+    pos, stop = F.when(F.col("head") == 1, F.col("at")).otherwise(F.col("start")), F.when(F.col("head") == 1, F.col("stop")).otherwise(F.col("at"))
+    return ends.select("doc", "mark", pos.cast("int").alias("pos"), (stop - pos).cast("int").alias("n"), "sdoc", "smark", (pos - F.col("diagonal")).cast("int").alias("spos")).where("n > 0")
+
+
+def _digest(words: list[bytes], pos: int, n: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[pos : pos + n]), digest_size=16).digest()
+
+
+def _digests(texts: DataFrame, paths: DataFrame, window: int) -> DataFrame:
+    """(sdoc, smark, spos, n, digest): of the words at each coordinate that is a path's source."""
+    asked = paths.select(F.col("sdoc").alias("doc"), F.col("smark").alias("mark"), F.col("spos").alias("pos"), "n").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()
+        for b in batches:
+            doc, mark = _names(b)
+            parent, (p, n) = _lists(b.column("found"), 2)
+            bounds = np.searchsorted(parent, np.arange(b.num_rows + 1)).tolist()
+            p, n = p.to_numpy(), n.to_numpy()
+            for i, (d, m, t) in enumerate(zip(doc.tolist(), mark.tolist(), b.column("text").to_pylist(), strict=True)):
+                if (d, m) in met:
+                    continue
+                met.add((d, m))
+                words, at = t.encode().split(), slice(bounds[i], bounds[i + 1])
+                got = [_digest(words, x, k + window - 1) for x, k in zip(p[at].tolist(), n[at].tolist(), strict=True)]
+                size = len(got)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, d)), pa.array(np.full(size, m, np.int64)), pa.array(p[at]), pa.array(n[at]), pa.array(got, pa.binary())], names=["sdoc", "smark", "spos", "n", "digest"])
+
+    return _with_lists(texts, asked, ["pos", "n"], "inner").mapInArrow(tidy(run), "sdoc long, smark long, spos int, n int, digest binary")
+
+
+def _checkable(texts: DataFrame, window: int, seed: int) -> DataFrame:
+    """Every path (doc, mark, pos, n, sdoc, smark, spos) with the digest of the words at its source."""
+    paths = _paths(_linked(texts, window, seed))
+    return paths.join(_digests(texts, paths, window), ["sdoc", "smark", "spos", "n"])
+
+
+def _verified(words: list[bytes], pos: list[int], n: list[int], digest: list[bytes], window: int) -> np.ndarray:
+    """Which words lie in a path whose words are those of its source."""
+    delta = np.zeros(len(words) + 1, np.int64)
+    for p, k, x in zip(pos, n, digest, strict=True):
+        if _digest(words, p, k + window - 1) == x:
+            delta[p] += 1
+            delta[min(p + k + window - 1, len(words))] -= 1
+    return np.cumsum(delta[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -237,44 +333,40 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS, te
     A word goes if a window of `window` consecutive words of its text that covers it also starts earlier: in a
     smaller key, or in the same key at an earlier word. The text that is left is its words joined by one space;
     a text that loses nothing stays as it is. Null: no words, stays null. Texts of under `window` words stay.
-    Rows that repeat a key and text are judged alike; a null key comes before all others. No rows give no rows.
-    Columns of docs that clash with the new names are replaced.
+    Rows that repeat a key and text are judged alike. Rows with a null key come before all others and, as they have no
+    order of their own, in the order of their texts' hashes; those with equal texts are judged alike. The key is
+    an integer column, else TypeError. No rows give no rows. Columns of docs called n_words or n_removed are replaced;
+    any other name may occur.
     """
-    extra = [c for c in docs.columns if c not in (text, key, "n_words", "n_removed")]
-    held = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(f"extra_{i}") for i, c in enumerate(extra)])
-    runs = repeated_runs(docs, window, seed, text, key)
-    joined = _with_runs(held, runs, "left")
-    kinds = ", ".join(f"extra_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))
+    texts, extra = _texts(docs, text, key)
+    found = _with_lists(texts, _checkable(texts, window, seed), ["pos", "n", "digest"], "left")
+    kinds = "".join(f", extra_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))
+    rest = [f"extra_{i}" for i in range(len(extra))]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in steps(batch):
                 column = b.column("text")
-                mark = _mark(column)
-                parent, p, n = _starts(b.column("runs"), mark)
-                order = np.argsort(parent, kind="stable")
-                parent, p, n = parent[order], p[order], n[order]
-                bounds = np.searchsorted(parent, np.arange(b.num_rows + 1))
+                parent, (p, n, x) = _lists(b.column("found"), 3)
+                bounds = np.searchsorted(parent, np.arange(b.num_rows + 1)).tolist()
+                p, n, x = p.to_numpy().tolist(), n.to_numpy().tolist(), x.to_pylist()
                 data, off = flat(column)
                 count = np.diff(word_bounds(data, off)[2])
-                texts, gone = [], np.zeros(b.num_rows, np.int64)
-                for i, t in enumerate(column.to_pylist()):
-                    lo, hi = bounds[i], bounds[i + 1]
-                    if lo < hi:
-                        delta = np.zeros(count[i] + 1, np.int64)
-                        np.add.at(delta, p[lo:hi], 1)
-                        np.add.at(delta, np.minimum(p[lo:hi] + n[lo:hi] + window - 1, count[i]), -1)
-                        keep = np.cumsum(delta[:-1]) == 0
-                        gone[i] = count[i] - int(keep.sum())
-                        t = b" ".join(w for w, k in zip(t.encode().split(), keep.tolist(), strict=True) if k).decode()
-                    texts.append(t)
-                rest = [b.column(f"extra_{i}") for i in range(len(extra))]
-                yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(texts, column.type), *rest, pa.array(count), pa.array(gone)], names=["doc", "text", *(f"extra_{i}" for i in range(len(extra))), "n_words", "n_removed"])
-
-    out = joined.mapInArrow(tidy(cut), "doc long, text string, " + (kinds + ", " if extra else "") + "n_words long, n_removed long")
-    names = {text: "text", key: "doc"} | {c: f"extra_{i}" for i, c in enumerate(extra)}
+                gone, cuts = np.zeros(b.num_rows, np.int64), {}
+                for i in np.flatnonzero(np.diff(bounds)).tolist():
+                    words, at = column[i].as_py().encode().split(), slice(bounds[i], bounds[i + 1])
+                    out = _verified(words, p[at], n[at], x[at], window)
+                    if gone_here := int(out.sum()):
+                        gone[i] = gone_here
+                        cuts[i] = b" ".join(w for w, o in zip(words, out.tolist(), strict=True) if not o).decode()
+                if cuts:
+                    column = pa.array([cuts.get(i, t) for i, t in enumerate(column.to_pylist())], column.type)
+                yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("mark"), column, *(b.column(c) for c in rest), pa.array(count), pa.array(gone)], names=["doc", "mark", "text", *rest, "n_words", "n_removed"])
+
+    out = found.mapInArrow(tidy(cut), f"doc long, mark long, text string{kinds}, n_words long, n_removed long")
+    names = {text: F.col("text"), key: F.when(F.col("mark") != 0, F.col("doc"))} | {c: F.col(f"extra_{i}") for i, c in enumerate(extra)}
     kept = [c for c in docs.columns if c in names]
-    return out.select(*[F.col(names[c]).cast(docs.schema[c].dataType).alias(c) for c in kept], "n_words", "n_removed")
+    return out.select(*[names[c].cast(docs.schema[c].dataType).alias(c) for c in kept], "n_words", "n_removed")
 
 
 def kept_digest(text: str | None) -> str:

@@ -405,6 +405,67 @@ def test_substring_odd(spark, odd, none):
     assert got == [(0, 25, 0), (1, 25, 25), (1, 26, 25), (2, 25, 25)]
 
 
+def _thue_morse(a, b, n=10):
+    word = a
+    for _ in range(n):
+        word, other = word + "".join(b if c == a else a for c in word), None
+    return word
+
+
+def test_words_that_a_polynomial_takes_for_one_stay_apart(spark):
+    odd_word = _thue_morse("a", "b")
+    other = _thue_morse("b", "a")
+    data, off = flat(pa.array([odd_word, other, "a", "b", "a" * 8, "a" * 9, "a" * 64, "a" * 65]))
+    assert len(set(span_hash(data, off[:-1], off[1:]).tolist())) == 8
+    rest = [f"w{i}" for i in range(20)]
+    docs = spark.createDataFrame([(1, " ".join([odd_word, *rest])), (2, " ".join([other, *rest]))], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(docs).collect()}
+    assert got == {1: 0, 2: 20}  # the window of the 20 common words repeats, the one with the odd word does not
+    words = [odd_word, *rest[:19]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([other, *rest[:19]]))], "doc_id long, text string")
+    assert {r["n_removed"] for r in substring.remove_repeats(docs).collect()} == {0}
+
+
+def test_a_path_with_other_words_at_its_source_is_kept():
+    words = [b"a", b"b", b"c", b"d"]
+    right, wrong = substring._digest(words, 1, 2), substring._digest(words, 0, 2)
+    assert substring._verified(words, [1, 0], [1, 1], [right, wrong[::-1]], 2).tolist() == [False, True, True, False]
+    assert substring._verified(words, [0], [1], [right], 2).tolist() == [False] * 4
+
+
+def test_paths_compact_by_joins(spark):
+    rng = random.Random(3)
+    want, rows = set(), []
+    for doc in range(8):
+        pos = 0
+        for _ in range(30):
+            pos += rng.randint(1, 3)
+            n, spos = rng.randint(1, 9), rng.randrange(1000)
+            want.add((doc, pos, n, doc % 3, spos))
+            i = 0
+            while i < n:  # a path comes in pieces
+                k = rng.randint(1, n - i)
+                rows.append((doc, 1, pos + i, k, doc % 3, 1, spos + i))
+                i += k
+            pos += n
+    rng.shuffle(rows)
+    pieces = spark.createDataFrame(rows, "doc long, mark long, pos int, n int, sdoc long, smark long, spos int").repartition(5)
+    assert {(r["doc"], r["pos"], r["n"], r["sdoc"], r["spos"]) for r in substring._paths(pieces).collect()} == want
+
+
+def test_substring_null_keys_clashing_names_and_other_keys(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(None, a, 1, "m", 5, 6, "f"), (None, a, 2, "m", 5, 6, "f"), (None, b + " z", 3, "m", 5, 6, "f"), (-(1 << 63), b, 4, "m", 5, 6, "f"), (9, a + " q " + b, 5, "m", 5, 6, "f")]
+    docs = spark.createDataFrame(rows, "id long, body string, doc long, mark string, pos int, extra_0 int, found string")
+    got = substring.remove_repeats(docs, text="body", key="id")
+    assert got.columns == [*docs.columns, "n_words", "n_removed"]
+    assert sorted((r["id"] if r["id"] is not None else "none", r["doc"], r["n_removed"], r["mark"], r["found"], r["extra_0"]) for r in got.collect() if r["id"] is None) == [("none", 1, 0, "m", "f", 6), ("none", 2, 0, "m", "f", 6), ("none", 3, 0, "m", "f", 6)]
+    rest = {r["id"]: (r["n_removed"], r["body"]) for r in got.collect() if r["id"] is not None}
+    assert rest == {-(1 << 63): (30, ""), 9: (60, "q")}
+    with pytest.raises(TypeError):
+        substring.remove_repeats(docs.withColumn("id", F.col("id").cast("string")), text="body", key="id")
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_against_brute_force(spark, sf_dir):
