@@ -219,6 +219,27 @@ def ragged(offsets: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- blob shuffles
 
+def blob(values: np.ndarray) -> bytes:
+    """An array as bytes, after its length: 64-bit hashes as they are, other numbers byte by byte of all (the high ones are alike) and compressed."""
+    n = len(values)
+    if values.dtype == _U:
+        return (2 * n).to_bytes(8, "little") + values.tobytes()
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(n, -1).T.tobytes()
+    return (2 * n + 1).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unblob(blobs: list[bytes], kind: str) -> np.ndarray:
+    size, parts = np.dtype(kind).itemsize, []
+    for x in blobs:
+        n, packed = divmod(int.from_bytes(x[:8], "little"), 2)
+        if n and packed:
+            raw = np.frombuffer(pa.decompress(x[8:], n * size, codec="zstd"), np.uint8)
+            parts.append(np.ascontiguousarray(raw.reshape(size, n).T).view(kind)[:, 0])
+        elif n:
+            parts.append(np.frombuffer(x, kind, offset=8))
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
 def scatter(part: np.ndarray, width: int, cols: dict[str, np.ndarray | None], kind: int = 0) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, kind, one binary per column): entries of one bucket stay together, in their order. A column that is None is empty."""
     if not len(part):
@@ -232,7 +253,7 @@ def scatter(part: np.ndarray, width: int, cols: dict[str, np.ndarray | None], ki
             arrays.append(pa.array([b""] * len(full), pa.binary()))
             continue
         values = values[order]
-        arrays.append(pa.array([values[bounds[b] : bounds[b + 1]].tobytes() for b in full], pa.binary()))
+        arrays.append(pa.array([blob(values[bounds[b] : bounds[b + 1]]) for b in full], pa.binary()))
     yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "kind", *cols])
 
 
@@ -248,4 +269,4 @@ def gather(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> dict[int
         for c in kinds:
             for k, x in zip(marks, b.column(c).to_pylist(), strict=True):
                 found.setdefault(k, {n: [] for n in kinds})[c].append(x)
-    return {k: {c: np.frombuffer(b"".join(v[c]), t) for c, t in kinds.items()} for k, v in found.items()}
+    return {k: {c: _unblob(v[c], t) for c, t in kinds.items()} for k, v in found.items()}

@@ -2,11 +2,11 @@
 
 Every window of `window` words is an edge. Most edges occur once, so they are pruned first: two equal windows have
 the same least hash among their inner `seed` -word grams (their minimiser), hence only windows whose minimiser occurs
-twice anywhere can repeat. What is left meets by a 96-bit hash, and each occurrence but the first, by (doc_id, start),
-is linked to the coordinate of an earlier one: its source. Edges that follow each other both in their text and in their
-source are a nonbranching path. Paths compact by joins: an edge (or a piece, where neighbours met in one task) without
-a predecessor is the head of a path, one without a successor its tail. At last the words of every path are
-compared with those at its source's coordinate, by a cryptographic digest of the words; only then do they go.
+twice anywhere can repeat. What is left meets by a 128-bit cryptographic digest of the words at its coordinate, so
+equal digests are equal words; each occurrence but the first, by (doc_id, start), is linked to the coordinate of an
+earlier one, its source. Edges that follow each other both in their text and in their source make a nonbranching path.
+Paths compact where ends meet: the end of one piece and the start of the next have one coordinate and cancel in an
+equality of (text, source diagonal, coordinate); what is left are the two ends of each path, which cut the text.
 Both exchanges of edges combine in the map task first: content that repeats inside a task sends one entry, so a
 passage that a third of all rows share costs one entry for each task.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blob_schema, flat, gather, gram_hash, ragged, scatter, shuffle_width, span_hash, steps, tidy, word_bounds
+from .common import blob_schema, flat, gather, gram_hash, mix, ragged, scatter, shuffle_width, span_hash, steps, tidy, word_bounds
 
 _U = np.uint64
 SEED_WORDS = 8
@@ -53,36 +53,35 @@ def _names(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return b.column("doc").to_numpy(), b.column("mark").to_numpy().astype(np.uint32)
 
 
-def _with_lists(texts: DataFrame, rows: DataFrame, fields: list[str], how: str) -> DataFrame:
-    """texts with the rows of their (doc, mark) as an array `found` of the given fields."""
-    grouped = rows.repartition("doc", "mark").groupBy("doc", "mark").agg(F.collect_list(F.struct(*fields)).alias("found"))
+def _with_lists(texts: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """texts with the (pos, n) of their (doc, mark) as an array `found`. rows lie together by (doc, mark) already."""
+    grouped = rows.groupBy("doc", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("found"))
     grouped = grouped.select(F.col("doc").alias("of_doc"), F.col("mark").alias("of_mark"), "found").hint("shuffle_hash")
     return texts.join(grouped, (F.col("doc") == F.col("of_doc")) & (F.col("mark") == F.col("of_mark")), how).drop("of_doc", "of_mark")
 
 
-def _lists(found: pa.Array, fields: int) -> tuple[np.ndarray, list[pa.Array]]:
-    """The row of every list entry, and the entries' fields."""
+def _lists(found: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row, first position and number of every list entry."""
     if isinstance(found, pa.ChunkedArray):
         found = found.combine_chunks()
     parent = np.repeat(np.arange(len(found)), pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
     inner = found.flatten()
-    return parent, [inner.field(i) for i in range(fields)]
+    return parent, *(inner.field(i).to_numpy().astype(np.int64) for i in range(2))
 
 
 # ---------------------------------------------------------------- edges
 
-def _grams(column: pa.Array, window: int, seed: int, long: bool) -> tuple[np.ndarray, ...]:
-    """Per window: its text's row, start word, (place, hash) of its minimiser or, if `long`, two hashes of the window."""
+def _minimisers(column: pa.Array, window: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Per window: its text's row, start word, place and hash of its minimiser."""
     data, off = flat(column)
     starts, ends, first = word_bounds(data, off)
     count = np.diff(first)
-    words = span_hash(data, starts, ends)
     have = np.maximum(count - window + 1, 0)
     at = ragged(first[:-1], have)
     row = np.repeat(np.arange(len(count)), have)
-    if long:
-        return row, at - first[row], gram_hash(words, window)[at] if len(at) else np.zeros(0, _U), (gram_hash(words, window, True)[at] if len(at) else np.zeros(0, _U)).astype(np.uint32)
-    small = gram_hash(words, min(seed, window))
+    if not len(at):
+        return row, at, at, np.zeros(0, _U)
+    small = gram_hash(span_hash(data, starts, ends), min(seed, window))
     span = window - min(seed, window) + 1
     low, reach = np.arange(len(small)), 1  # where the least gram is, the leftmost of equals
     while reach < span:
@@ -90,7 +89,27 @@ def _grams(column: pa.Array, window: int, seed: int, long: bool) -> tuple[np.nda
         a, b = low[: len(low) - skip], low[skip:]
         low = np.where(small[a] <= small[b], a, b)
         reach += skip
-    return row, at - first[row], low[at] if len(at) else at, small[low[at]] if len(at) else np.zeros(0, _U)
+    return row, at - first[row], low[at], small[low[at]]
+
+
+def _edges(b: pa.RecordBatch, window: int) -> tuple[np.ndarray, ...]:
+    """Row, start word and 128-bit digest, in two halves, of every window that lies in a run of its row."""
+    data, off = flat(b.column("text"))
+    starts, ends, first = word_bounds(data, off)
+    have = np.maximum(np.diff(first) - window + 1, 0)
+    at, row = ragged(first[:-1], have), np.repeat(np.arange(b.num_rows), have)
+    keep = _wanted(b.column("found"), row)
+    at, row = at[keep], row[keep]
+    # words with one space after each, so that a window's digest does not depend on the white space between
+    size = ends - starts
+    line = np.full(int(size.sum()) + len(size), 32, np.uint8)
+    place = np.cumsum(size + 1) - size - 1
+    line[ragged(place, size)] = data[ragged(starts, size)]
+    held, stop = memoryview(line), place + size
+    one = hashlib.blake2b
+    raw = b"".join([one(held[s:e], digest_size=16).digest() for s, e in zip(place[at].tolist(), stop[at + window - 1].tolist(), strict=True)])
+    both = np.frombuffer(raw, _U).reshape(-1, 2)
+    return row, at - first[row], np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
 def _spread(h: np.ndarray, width: int) -> np.ndarray:
@@ -116,13 +135,13 @@ class _Held:
 
 SINGLE, MANY, KNOWN = 0, 1, 2
 _SEEDS = {"h": "u8", "doc": "i8", "mark": "u4", "pos": "i4", "n": "i4"}
-_WINDOWS = {"h": "u8", "g": "u4", "doc": "i8", "mark": "u4", "pos": "i4", "n": "i4", "spos": "i4"}
-_PIECE = ["doc", "mark", "pos", "n", "sdoc", "smark", "spos"]
+_WINDOWS = {"h": "u8", "g": "u8", "doc": "i8", "mark": "u4", "pos": "i4", "n": "i4"}
+_PIECE = ["doc", "mark", "pos", "n", "line"]
 
 
 def _table(names: list[str], cols: list[np.ndarray]) -> pa.RecordBatch:
     """Columns as long, but for positions and numbers, which are int."""
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32 if c in ("pos", "n", "spos") else np.int64)) for c, x in zip(names, cols, strict=True)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32 if c in ("pos", "n") else np.int64)) for c, x in zip(names, cols, strict=True)], names=names)
 
 
 def _open_runs(texts: DataFrame, window: int, seed: int, width: int) -> DataFrame:
@@ -147,7 +166,7 @@ def _open_runs(texts: DataFrame, window: int, seed: int, width: int) -> DataFram
 
         for batch in batches:
             for b in steps(batch):
-                row, pos, where, low = _grams(b.column("text"), window, seed, False)
+                row, pos, where, low = _minimisers(b.column("text"), window, seed)
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (where[1:] != where[:-1])
                 at = np.flatnonzero(new)
@@ -189,7 +208,9 @@ def _sources(h: np.ndarray, g: np.ndarray, doc: np.ndarray, mark: np.ndarray, po
 
 
 def _pieces(source: np.ndarray, doc: np.ndarray, mark: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
-    """Entries with a source that follow each other in their text and in their source, as columns of _PIECE."""
+    """Entries with a source that follow each other in their text and in their source, as columns of _PIECE.
+
+    line names a source and the distance to it: alike for all pieces of a path."""
     at = np.flatnonzero(source >= 0)
     at = at[np.lexsort((pos[at], mark[at], doc[at]))]
     d, m, p, s = doc[at], mark[at], pos[at].astype(np.int64), source[at]
@@ -200,34 +221,29 @@ def _pieces(source: np.ndarray, doc: np.ndarray, mark: np.ndarray, pos: np.ndarr
     new = np.ones(len(d), bool)
     new[1:] = (d[1:] != d[:-1]) | (m[1:] != m[:-1]) | (p[1:] != p[:-1] + 1) | (sd[1:] != sd[:-1]) | (sm[1:] != sm[:-1]) | (sp[1:] != sp[:-1] + 1)
     i = np.flatnonzero(new)
-    return [d[i], m[i], p[i], np.diff(np.append(i, len(d))), sd[i], sm[i], sp[i]]
+    line = mix(mix(sd[i].view(_U) ^ (sm[i].astype(_U) << _U(32))) ^ (p[i] - sp[i]).view(_U))
+    return [d[i], m[i], p[i], np.diff(np.append(i, len(d))), line.view(np.int64)]
 
 
 def _linked(texts: DataFrame, window: int, seed: int) -> DataFrame:
-    """(doc, mark, pos, n, sdoc, smark, spos): the windows from word pos to pos+n-1 of a text have the words of those from spos of its source on."""
+    """(doc, mark, pos, n, line): the windows from word pos to pos+n-1 of a text have the words of those of an earlier source."""
     width = shuffle_width(texts)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, met = _Held(), set()
+        held = _Held()
 
         def flush() -> Iterator[pa.RecordBatch]:
             h, g, doc, mark, pos = held.take()
             source, one = _sources(h, g, doc, mark, pos)
-            d, m, p, n, sd, sm, sp = _pieces(source, doc, mark, pos)
-            yield from scatter(np.arange(len(d)) % width, width, {"h": sd.view(_U), "g": sm, "doc": d, "mark": m, "pos": p.astype(np.int32), "n": n.astype(np.int32), "spos": sp.astype(np.int32)}, KNOWN)
-            yield from scatter(_spread(h[one], width), width, {"h": h[one], "g": g[one], "doc": doc[one], "mark": mark[one], "pos": pos[one], "n": None, "spos": None}, SINGLE)
+            d, m, p, n, line = _pieces(source, doc, mark, pos)
+            yield from scatter(np.arange(len(d)) % width, width, {"h": line.view(_U), "g": None, "doc": d, "mark": m, "pos": p.astype(np.int32), "n": n.astype(np.int32)}, KNOWN)
+            yield from scatter(_spread(h[one], width), width, {"h": h[one], "g": g[one], "doc": doc[one], "mark": mark[one], "pos": pos[one], "n": None}, SINGLE)
 
         for batch in batches:
             for b in steps(batch):
                 doc, mark = _names(b)
-                name = list(zip(doc.tolist(), mark.tolist(), strict=True))  # rows that repeat whole lie in one task
-                fresh = [i for i, x in enumerate(name) if x not in met and not met.add(x)]
-                if len(fresh) < b.num_rows:
-                    b = b.take(pa.array(fresh, pa.int64()))
-                    doc, mark = doc[fresh], mark[fresh]
-                row, pos, h, g = _grams(b.column("text"), window, seed, True)
-                keep = _wanted(b.column("found"), row)
-                held.add(h[keep], g[keep], doc[row[keep]], mark[row[keep]], pos[keep].astype(np.int32))
+                row, pos, h, g = _edges(b, window)
+                held.add(h, g, doc[row], mark[row], pos.astype(np.int32))
                 if held.size >= COMBINE:
                     yield from flush()
         if held.size:
@@ -237,20 +253,19 @@ def _linked(texts: DataFrame, window: int, seed: int) -> DataFrame:
         got = gather(batches, _WINDOWS)
         if KNOWN in got:
             k = got[KNOWN]
-            yield _table(_PIECE, [k["doc"], k["mark"], k["pos"], k["n"], k["h"].view(np.int64), k["g"], k["spos"]])
+            yield _table(_PIECE, [k["doc"], k["mark"], k["pos"], k["n"], k["h"].view(np.int64)])
         if SINGLE in got:
             w = got[SINGLE]
             source, _ = _sources(w["h"], w["g"], w["doc"], w["mark"], w["pos"])
             yield _table(_PIECE, _pieces(source, w["doc"], w["mark"], w["pos"]))
 
-    joined = _with_lists(texts, _open_runs(texts, window, seed, width), ["pos", "n"], "inner")
-    return joined.mapInArrow(tidy(windows), blob_schema(_WINDOWS)).repartitionById(width, F.col("bucket")).mapInArrow(tidy(meet), "doc long, mark long, pos int, n int, sdoc long, smark long, spos int")
+    joined = _with_lists(texts, _open_runs(texts, window, seed, width).repartition("doc", "mark"), "inner")
+    return joined.mapInArrow(tidy(windows), blob_schema(_WINDOWS)).repartitionById(width, F.col("bucket")).mapInArrow(tidy(meet), "doc long, mark long, pos int, n int, line long")
 
 
 def _wanted(found: pa.Array, row: np.ndarray) -> np.ndarray:
     """Which windows (in order of row and position) lie in a run of their row."""
-    parent, (p, n) = _lists(found, 2)
-    p, n = p.to_numpy().astype(np.int64), n.to_numpy().astype(np.int64)
+    parent, p, n = _lists(found)
     first = np.searchsorted(row, np.arange(len(found) + 1))
     delta = np.zeros(len(row) + 1, np.int64)
     np.add.at(delta, np.minimum(first[parent] + p, first[parent + 1]), 1)
@@ -261,70 +276,24 @@ def _wanted(found: pa.Array, row: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- paths
 
 def _paths(pieces: DataFrame) -> DataFrame:
-    """Pieces compacted along their paths: columns of _PIECE, but for the ends of paths nothing is left of a piece.
+    """(doc, mark, pos, n) of every path that pieces (doc, mark, pos, n, line) make up.
 
-    A piece goes on in the one that starts where it ends, in the text and in the source. Pieces that nothing goes on
-    into are heads, those that go on into nothing tails: two anti-joins. Of a text and a diagonal (pos - spos) the
-    heads and tails alternate, so each head ends at the next tail.
+    The end of a piece and the start of the next on its line fall on one coordinate and cancel there; the starts and
+    ends that are left delimit the paths. Rows that repeat count as often as they are there, which changes no path.
     """
-    name = ["doc", "mark", "sdoc", "smark", "diagonal"]
-    p = pieces.withColumn("diagonal", F.col("pos") - F.col("spos"))
-    begin, end = p.select(*name, F.col("pos").alias("at")), p.select(*name, (F.col("pos") + F.col("n")).alias("at"))
-    heads = begin.join(end, [*name, "at"], "left_anti").select(*name, "at", F.lit(1).alias("head"))
-    tails = end.join(begin, [*name, "at"], "left_anti").select(*name, "at", F.lit(0).alias("head"))
-    line = Window.partitionBy(*name).orderBy("at", "head")
-    ends = heads.union(tails).withColumns({
-        "stop": F.min(F.when(F.col("head") == 0, F.col("at"))).over(line.rowsBetween(1, Window.unboundedFollowing)),
-        "start": F.max(F.when(F.col("head") == 1, F.col("at"))).over(line.rowsBetween(Window.unboundedPreceding, -1)),
-        "after": F.lag("head").over(line),
-    })
-    # a tail that follows a tail belongs to the last head too: only where rows that repeat whole were linked apart
-    ends = ends.where("head = 1 or after = 0")
-    pos, stop = F.when(F.col("head") == 1, F.col("at")).otherwise(F.col("start")), F.when(F.col("head") == 1, F.col("stop")).otherwise(F.col("at"))
-    return ends.select("doc", "mark", pos.cast("int").alias("pos"), (stop - pos).cast("int").alias("n"), "sdoc", "smark", (pos - F.col("diagonal")).cast("int").alias("spos")).where("n > 0")
-
-
-def _digest(words: list[bytes], pos: int, n: int) -> bytes:
-    return hashlib.blake2b(b" ".join(words[pos : pos + n]), digest_size=16).digest()
-
-
-def _digests(texts: DataFrame, paths: DataFrame, window: int) -> DataFrame:
-    """(sdoc, smark, spos, n, digest): of the words at each coordinate that is a path's source."""
-    asked = paths.select(F.col("sdoc").alias("doc"), F.col("smark").alias("mark"), F.col("spos").alias("pos"), "n").distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[tuple[int, int]] = set()
-        for b in batches:
-            doc, mark = _names(b)
-            parent, (p, n) = _lists(b.column("found"), 2)
-            bounds = np.searchsorted(parent, np.arange(b.num_rows + 1)).tolist()
-            p, n = p.to_numpy(), n.to_numpy()
-            for i, (d, m, t) in enumerate(zip(doc.tolist(), mark.tolist(), b.column("text").to_pylist(), strict=True)):
-                if (d, m) in met:
-                    continue
-                met.add((d, m))
-                words, at = t.encode().split(), slice(bounds[i], bounds[i + 1])
-                got = [_digest(words, x, k + window - 1) for x, k in zip(p[at].tolist(), n[at].tolist(), strict=True)]
-                size = len(got)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size, d)), pa.array(np.full(size, m, np.int64)), pa.array(p[at]), pa.array(n[at]), pa.array(got, pa.binary())], names=["sdoc", "smark", "spos", "n", "digest"])
-
-    return _with_lists(texts, asked, ["pos", "n"], "inner").mapInArrow(tidy(run), "sdoc long, smark long, spos int, n int, digest binary")
-
-
-def _checkable(texts: DataFrame, window: int, seed: int) -> DataFrame:
-    """Every path (doc, mark, pos, n, sdoc, smark, spos) with the digest of the words at its source."""
-    paths = _paths(_linked(texts, window, seed))
-    return paths.join(_digests(texts, paths, window), ["sdoc", "smark", "spos", "n"])
-
-
-def _verified(words: list[bytes], pos: list[int], n: list[int], digest: list[bytes], window: int) -> np.ndarray:
-    """Which words lie in a path whose words are those of its source."""
-    delta = np.zeros(len(words) + 1, np.int64)
-    for p, k, x in zip(pos, n, digest, strict=True):
-        if _digest(words, p, k + window - 1) == x:
-            delta[p] += 1
-            delta[min(p + k + window - 1, len(words))] -= 1
-    return np.cumsum(delta[:-1]) > 0
+    ends = pieces.repartition("doc", "mark").select("doc", "mark", "line", F.explode(F.array(F.struct(F.col("pos").alias("at"), F.lit(1).alias("d")), F.struct((F.col("pos") + F.col("n")).alias("at"), F.lit(-1).alias("d")))).alias("x"))
+    left = ends.groupBy("doc", "mark", "line", "x.at").agg(F.sum("x.d").alias("d")).where("d <> 0")
+    along = Window.partitionBy("doc", "mark", "line").orderBy("at")
+    spans = left.withColumns({"depth": F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0)), "stop": F.lead("at").over(along)}).where("depth > 0")
+    return spans.select("doc", "mark", F.col("at").alias("pos"), (F.col("stop") - F.col("at")).alias("n"))
+
+
+def _kept(size: int, pos: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
+    """Which of a text's words no window of a path covers."""
+    delta = np.zeros(size + 1, np.int64)
+    np.add.at(delta, pos, 1)
+    np.add.at(delta, np.minimum(pos + n + window - 1, size), -1)
+    return np.cumsum(delta[:-1]) == 0
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -339,7 +308,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS, te
     any other name may occur.
     """
     texts, extra = _texts(docs, text, key)
-    found = _with_lists(texts, _checkable(texts, window, seed), ["pos", "n", "digest"], "left")
+    found = _with_lists(texts, _paths(_linked(texts, window, seed)), "left")
     kinds = "".join(f", extra_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(extra))
     rest = [f"extra_{i}" for i in range(len(extra))]
 
@@ -347,18 +316,16 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = SEED_WORDS, te
         for batch in batches:
             for b in steps(batch):
                 column = b.column("text")
-                parent, (p, n, x) = _lists(b.column("found"), 3)
+                parent, p, n = _lists(b.column("found"))
                 bounds = np.searchsorted(parent, np.arange(b.num_rows + 1)).tolist()
-                p, n, x = p.to_numpy().tolist(), n.to_numpy().tolist(), x.to_pylist()
                 data, off = flat(column)
                 count = np.diff(word_bounds(data, off)[2])
                 gone, cuts = np.zeros(b.num_rows, np.int64), {}
                 for i in np.flatnonzero(np.diff(bounds)).tolist():
                     words, at = column[i].as_py().encode().split(), slice(bounds[i], bounds[i + 1])
-                    out = _verified(words, p[at], n[at], x[at], window)
-                    if gone_here := int(out.sum()):
-                        gone[i] = gone_here
-                        cuts[i] = b" ".join(w for w, o in zip(words, out.tolist(), strict=True) if not o).decode()
+                    keep = _kept(len(words), p[at], n[at], window)
+                    gone[i] = len(words) - int(keep.sum())
+                    cuts[i] = b" ".join(w for w, k in zip(words, keep.tolist(), strict=True) if k).decode()
                 if cuts:
                     column = pa.array([cuts.get(i, t) for i, t in enumerate(column.to_pylist())], column.type)
                 yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("mark"), column, *(b.column(c) for c in rest), pa.array(count), pa.array(gone)], names=["doc", "mark", "text", *rest, "n_words", "n_removed"])

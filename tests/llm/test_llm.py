@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quillon.llm import ann, bestfit, bpe, components, configuration, encoding, hamming, langid, licenses, queries, simhash, substring, tokens, urlfilter
-from quillon.llm.common import flat, gram_hash, span_hash, word_bounds
+from quillon.llm.common import flat, gather, gram_hash, scatter, span_hash, word_bounds
 from tests.conftest import rows_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -426,31 +426,33 @@ def test_words_that_a_polynomial_takes_for_one_stay_apart(spark):
     assert {r["n_removed"] for r in substring.remove_repeats(docs).collect()} == {0}
 
 
-def test_a_path_with_other_words_at_its_source_is_kept():
-    words = [b"a", b"b", b"c", b"d"]
-    right, wrong = substring._digest(words, 1, 2), substring._digest(words, 0, 2)
-    assert substring._verified(words, [1, 0], [1, 1], [right, wrong[::-1]], 2).tolist() == [False, True, True, False]
-    assert substring._verified(words, [0], [1], [right], 2).tolist() == [False] * 4
-
-
-def test_paths_compact_by_joins(spark):
+def test_paths_compact_where_ends_meet(spark):
     rng = random.Random(3)
     want, rows = set(), []
     for doc in range(8):
         pos = 0
         for _ in range(30):
-            pos += rng.randint(1, 3)
-            n, spos = rng.randint(1, 9), rng.randrange(1000)
-            want.add((doc, pos, n, doc % 3, spos))
+            pos += rng.randint(0, 3)
+            n, line = rng.randint(1, 9), rng.randrange(1000)
+            want.add((doc, pos, n))
             i = 0
             while i < n:  # a path comes in pieces
                 k = rng.randint(1, n - i)
-                rows.append((doc, 1, pos + i, k, doc % 3, 1, spos + i))
+                rows += [(doc, 1, pos + i, k, line)] * (1 + (doc == 3))
                 i += k
             pos += n
     rng.shuffle(rows)
-    pieces = spark.createDataFrame(rows, "doc long, mark long, pos int, n int, sdoc long, smark long, spos int").repartition(5)
-    assert {(r["doc"], r["pos"], r["n"], r["sdoc"], r["spos"]) for r in substring._paths(pieces).collect()} == want
+    pieces = spark.createDataFrame(rows, "doc long, mark long, pos int, n int, line long").repartition(5)
+    assert {(r["doc"], r["pos"], r["n"]) for r in substring._paths(pieces).collect()} == want
+
+
+def test_blobs_round_trip():
+    rng = np.random.default_rng(1)
+    cols = {"h": rng.integers(0, 1 << 63, 900).astype("u8"), "a": rng.integers(-(1 << 40), 1 << 40, 900), "b": rng.integers(0, 9, 900).astype("i4"), "c": rng.integers(0, 9, 900).astype("u4"), "e": None}
+    part = rng.integers(0, 7, 900)
+    got = gather(scatter(part, 7, cols, 3), {"h": "u8", "a": "i8", "b": "i4", "c": "u4", "e": "i4"})[3]
+    order = np.argsort(part, kind="stable")
+    assert all((got[c] == cols[c][order]).all() for c in "habc") and not len(got["e"])
 
 
 def test_substring_null_keys_clashing_names_and_other_keys(spark):
