@@ -8,12 +8,13 @@ exact result, and only the others need merging.
 
 from __future__ import annotations
 
+import functools
 import json
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import regex
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import flat, ragged
 
@@ -27,15 +28,44 @@ _MARK = MARK.encode()
 
 
 def byte_alphabet() -> dict[str, int]:
-    """The printable stand-in character of each byte in byte-level vocabularies, inverted."""
+    """The printable stand-in character of each byte in byte-level vocabularies, inverted; a fixed value of the file format."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(plain)]
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _lower(text: str) -> str:
-    """Lower case letter by letter: a capital sigma becomes the same letter everywhere in a word."""
-    return text.lower() if text.isascii() else text.replace("\u03a3", "\u03c3").lower()
+#: The file's own normaliser, but for white space, which no word holds. Its Unicode tables are those that ids depend on.
+_NORMAL = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+#: First UTF-8 byte of U+0240: below it every Unicode version composes and lower-cases alike, and letters are the same.
+_WIDE = 0xC9
+
+
+def _normal(text: str) -> str:
+    return text.lower() if text.isascii() else _NORMAL.normalize_str(text)
+
+
+@functools.cache
+def _letters_and_numbers() -> tuple[dict[str, str], np.ndarray]:
+    r"""\p{L} and \p{N} as the library knows them, as ranges; and a table of the code points that `regex` takes for one
+    and the library does not: Unicode versions differ, so the library is asked."""
+    out, odd = {}, np.zeros(0x110000, bool)
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    for name in (r"\p{L}", r"\p{N}"):
+        mine = "".join(regex.findall(name, every))
+        split = pre_tokenizers.Split(Regex(f"[{name}]+"), "removed", invert=True)
+        known = np.array([ord(c) for word, _ in split.pre_tokenize_str(mine) for c in word])
+        ends = np.flatnonzero(np.diff(known) != 1)
+        out[name] = "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(known[np.append(0, ends + 1)].tolist(), known[np.append(ends, len(known) - 1)].tolist(), strict=True))
+        odd[np.setdiff1d(np.array([ord(c) for c in mine]), known)] = True
+    return out, odd
+
+
+def _spelled_out(pattern: str) -> str:
+    """A splitter's pattern with the library's letters and numbers in place of their names."""
+    for name, ranges in _letters_and_numbers()[0].items():
+        pattern = regex.sub(r"\[[^\]]*\]", lambda m, n=name, r=ranges: m[0].replace(n, r), pattern)
+        pattern = pattern.replace(name, f"[{ranges}]")
+    return pattern
 
 
 class PairTable:
@@ -97,7 +127,9 @@ class Bpe:
         else:
             inner = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: the byte-level splitter's pattern
             marked = inner.replace(r"[^\s", r"[^\s" + MARK).replace(r"(?!\S)", rf"(?![^\s{MARK}])")
-        self.splitter, self.marked = regex.compile(inner), regex.compile(f"{MARK}|{marked}")
+        # the splitter is exact for every text; the faster one is for texts without code points that it would take for letters
+        self.splitter, self.marked = regex.compile(_spelled_out(inner)), regex.compile(f"{MARK}|{marked}")
+        self.unknown = _letters_and_numbers()[1]
 
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.top = max(self.vocab.values()) + 1
@@ -294,36 +326,56 @@ class Bpe:
 
     def _split(self, chunk: str) -> list[str]:
         if self.words_only:
-            chunk = _lower(unicodedata.normalize("NFC", chunk))
+            chunk = _normal(chunk)
         return self.splitter.findall(chunk)
 
-    def _split_all(self, chunks: list[bytes]) -> tuple[pa.DictionaryArray, np.ndarray]:
-        """Words of all chunks end to end, and each chunk's number of words; no chunk holds MARK."""
+    def _split_all(self, chunks: list[bytes], wide: bool) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Words of all chunks end to end, and each chunk's number of words; no chunk holds MARK. wide: some go beyond _WIDE."""
         text = MARK.join(x.decode("utf-8", "replace") for x in chunks)
-        if self.words_only and not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        coded = pa.array(self.marked.findall(_lower(text) if self.words_only else text), pa.large_string()).dictionary_encode()
+        if self.words_only:
+            text = _normal(text) if wide else text.lower()
+        coded = pa.array(self.marked.findall(text), pa.large_string()).dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         mark = coded.dictionary.to_pylist().index(MARK) if len(chunks) > 1 else -1
         gaps = np.concatenate([[-1], np.flatnonzero(index == mark), [len(index)]])
         return pa.DictionaryArray.from_arrays(pa.array(index[index != mark]), coded.dictionary), np.diff(gaps) - 1
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Encode chunks not met before and remember them."""
-        plain = [x for x in new if not (b"<|" in x and any(s.encode() in x for s in self.special)) and _MARK not in x]
-        coded, marks = self._split_all(plain) if plain else (pa.array([], pa.large_string()).dictionary_encode(), np.zeros(0, np.int64))
+    def _plain(self, chunk: bytes) -> bool:
+        """Whether a chunk beyond _WIDE may be split with the others."""
+        if _MARK in chunk:
+            return False
+        text = chunk.decode("utf-8", "replace")
+        text = text + _normal(text) if self.words_only else text
+        return not self.unknown[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any()
+
+    def _encode_plain(self, chunks: list[bytes], wide: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that are split all at once, end to end, and how many each has."""
+        if not chunks:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        coded, marks = self._split_all(chunks, wide)
         data, off = flat(coded.dictionary)
         ids, count = self.words(data, off)
         at, index = np.cumsum(count) - count, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        flat_ids, per_word = ids[ragged(at[index], count[index])], count[index]
-        bounds = np.concatenate([[0], np.cumsum(per_word)])[np.concatenate([[0], np.cumsum(marks)])]
-        lens = np.diff(bounds)
-        odd = [x for x in new if x not in set(plain)] if len(plain) < len(new) else []
-        if odd:
-            got = [np.array(self._exact(x.decode("utf-8", "replace")), np.int32) for x in odd]
-            flat_ids, lens, plain = np.concatenate([flat_ids, *got]), np.concatenate([lens, [len(g) for g in got]]).astype(np.int64), plain + odd
+        bounds = np.concatenate([[0], np.cumsum(count[index])])[np.concatenate([[0], np.cumsum(marks)])]
+        return ids[ragged(at[index], count[index])], np.diff(bounds)
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode chunks not met before and remember them."""
+        special = [x for x in new if b"<|" in x and any(s.encode() in x for s in self.special)]
+        rest = [x for x in new if x not in set(special)] if special else new
+        near, far = rest, []
+        if max(map(max, rest), default=0) >= _WIDE:
+            near, far = [x for x in rest if max(x) < _WIDE], [x for x in rest if max(x) >= _WIDE]
+            plain = [self._plain(x) for x in far]
+            special, far = special + [x for x, p in zip(far, plain, strict=True) if not p], [x for x, p in zip(far, plain, strict=True) if p]
+        got = [self._encode_plain(near, False), self._encode_plain(far, True)]
+        for x in special:
+            ids = np.array(self._exact(x.decode("utf-8", "replace")), np.int32)
+            got.append((ids, np.array([len(ids)], np.int64)))
+        flat_ids, lens = (np.concatenate(x) for x in zip(*got, strict=True))
+        new = near + far + special
         base, first = len(self.slot_ids), len(self.slots)
-        self.slots.update((x, first + i) for i, x in enumerate(plain))
+        self.slots.update((x, first + i) for i, x in enumerate(new))
         self.slot_ids = np.concatenate([self.slot_ids, flat_ids])
         self.slot_len = np.concatenate([self.slot_len, lens])
         self.slot_at = np.concatenate([self.slot_at, base + np.cumsum(lens) - lens])

@@ -193,6 +193,24 @@ def test_bpe_equals_library(name):
     assert model.merged < model.speculated
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_bpe_equals_library_on_marks_and_unassigned_points(name):
+    """40,000 texts of combining marks, unassigned and any other code points: Unicode tables must be the library's."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary(name))
+    library.no_truncation()
+    library.no_padding()
+    rng = random.Random(5)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    kinds = [[c for c in every if unicodedata.combining(c)], [c for c in every[:0x30000] if unicodedata.category(c) == "Cn"], every, list("abcZ ÉẞΣİ\n'")]
+    texts = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(1, 14))) for _ in range(40_000)]
+    ids, off = bpe.load(bpe.vocabulary(name)).encode(pa.array(texts))
+    assert all(ids[off[i] : off[i + 1]].tolist() == e.ids for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)))
+
+
 def test_pair_check_is_exact_merging():
     model, rng = bpe.Bpe(bpe.vocabulary("byte_bpe_50k.json")), np.random.default_rng(0)
     a, b = rng.integers(0, 50_000, 400), rng.integers(0, 50_000, 400)
