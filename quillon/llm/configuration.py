@@ -2,10 +2,10 @@
 
 The program has a variable for each way to fill one sequence (a configuration) and a row for each length;
 it sees only the histogram of lengths, so its size does not grow with the corpus. Multiplicative weights
-solve it: lengths that lag behind get dearer, and a knapsack dynamic program prices the configurations that
-are worth most. Weights are rounded down to whole sequences, what is left over is solved again, and the few
-last pieces are placed best-fit decreasing. Executors then give each piece its place by its rank among the
-pieces of its length.
+solve it: a length is the dearer the more of its demand is open, a knapsack dynamic program prices the
+configurations, and those worth most are used until every length is covered. Weights are rounded down to whole
+sequences; what that leaves, and a small share of the sequences that go last, best fit places. Executors then give
+each piece its place by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -23,57 +23,62 @@ from .tokens import token_pieces
 
 #: Pieces of one length that one salt numbers, about.
 RANKED = 5_000
-#: Pieces that the driver places one by one, at most about twice as many.
-BEST_FIT = 150_000
+#: The share of the program's sequences, and their number, that best fit gets back at most, besides what rounding leaves.
+RETURNED = (0.045, 2_000)
 
 
-def _knapsack(lens: np.ndarray, worth: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """Most worth that fits in 0..room, and the last length's index taken there (-1: one unit stays free)."""
-    best, took = np.zeros(room + 1), np.full(room + 1, -1, np.int64)
+def _knapsack(lens: np.ndarray, worth: np.ndarray, room: int) -> np.ndarray:
+    """The most worth that fits in 0..room, lengths ascending."""
+    best = np.zeros(room + 1)
     fits = np.searchsorted(lens, np.arange(room + 1), side="right")
     for c in range(1, room + 1):
-        best[c] = best[c - 1]
-        if k := fits[c]:
-            with_it = best[c - lens[:k]] + worth[:k]
-            j = k - 1 - int(with_it[::-1].argmax())  # of equals the longest
-            if with_it[j] > best[c]:
-                best[c], took[c] = with_it[j], j
-    return best, took
-
-
-def fractional(lens: np.ndarray, counts: np.ndarray, room: int, rounds: int = 50, rate: float = 4.0, batch: int = 4096) -> dict[tuple[int, ...], float]:
-    """A near-optimal fractional solution: configuration (indices into lens, ascending) -> how often."""
-    covered, use, rng = np.zeros(len(lens)), {}, np.random.default_rng(7)
+        k = fits[c]
+        best[c] = max(best[c - 1], (best[c - lens[:k]] + worth[:k]).max()) if k else best[c - 1]
+    return best
+
+
+def fractional(lens: np.ndarray, counts: np.ndarray, room: int, share: float = 0.34, rate: float = 1.0, slack: float = 0.0005) -> list[tuple[tuple[int, ...], float]]:
+    """A fractional solution that covers every length's count exactly: (configuration, how often), ascending indices into lens (ascending), in the order found.
+
+    In each round a length costs exp(rate x its open share), and of every length at most `share` of the count (one
+    piece, if that is more) is used. Steps are whole, so small counts lose nothing to rounding. A round starts a configuration with each open length, longest first, and fills it
+    along the knapsack's table; those whose worth falls behind the table's by more than the share `slack` wait for the
+    next round and its prices. slack grows where a round gets nowhere.
+    """
     need = counts.astype(float)
-    for _ in range(rounds):
-        share = covered / need
-        if share.min() >= 1:
-            break
-        worth = lens * np.exp(-rate * np.minimum(share - share.min(), 1.5)) * (1 + 0.004 * rng.random(len(lens)))  # no two alike
-        worth[share >= 1.02] = 0.0
-        limit = np.minimum(share + 0.5, 1.02) * need
-        best, took = _knapsack(lens, worth, room)
-        value = worth + best[room - lens]
-        lead = np.argsort(-value, kind="stable")
-        lead = lead[(value[lead] >= 0.6 * value[lead[0]])][:batch]
-        for i in lead.tolist():
-            if covered[i] >= limit[i]:
-                continue
-            config, c = [i], room - int(lens[i])
-            while c > 0:
-                j = int(took[c])
-                if j < 0:
-                    c -= 1
-                else:
+    left = need.copy()
+    use: list[tuple[tuple[int, ...], float]] = []
+    fits = np.searchsorted(lens, np.arange(room + 1), side="right")
+    while (left > 0).any():
+        price = np.where(left > 0, np.exp(rate * np.ceil(left / need / share - 1e-9) * share), 0.0)
+        worth = lens * price
+        best = _knapsack(lens, worth, room)
+        cap = np.minimum(left, np.maximum(1.0, np.floor(share * need)))
+        made = 0
+        for lead in np.flatnonzero(left > 0)[::-1].tolist():
+            aim = worth[lead] + best[room - lens[lead]]
+            while cap[lead] > 0:
+                config, c, got = [lead], room - int(lens[lead]), worth[lead]
+                while k := fits[c]:
+                    value = best[c - lens[:k]] + worth[:k]
+                    value[cap[:k] < 1] = -1.0
+                    for i in set(config):  # no more of a length than there are
+                        if i < k and cap[i] < config.count(i) + 1:
+                            value[i] = -1.0
+                    j = k - 1 - int(value[::-1].argmax())  # of equals the longest: short ones fill up best at the end
+                    if value[j] <= 0:
+                        break
                     config.append(j)
-                    c -= int(lens[j])
-            kinds, times = np.unique(config, return_counts=True)
-            step = float(((limit[kinds] - covered[kinds]) / times).min())
-            if step <= 0:
-                continue
-            key = tuple(sorted(config))
-            use[key] = use.get(key, 0.0) + step
-            covered[kinds] += step * times
+                    got, c = got + worth[j], c - int(lens[j])
+                if got < aim * (1 - slack) - 1e-9 and made:
+                    break
+                kinds, times = np.unique(config, return_counts=True)
+                step = float((cap[kinds] // times).min())
+                use.append((tuple(sorted(config)), step))
+                left[kinds] -= step * times
+                cap[kinds] -= step * times
+                made += 1
+        slack = min(0.5, max(2 * slack, 0.0005) if made < 16 else slack)
     return use
 
 
@@ -102,44 +107,42 @@ def best_fit_decreasing(lens: list[int], room: int) -> list[list[int]]:
 
 
 def plan(lens: np.ndarray, counts: np.ndarray, room: int) -> list[tuple[list[int], int]]:
-    """(lengths of one sequence, how many such sequences) for a histogram; every piece has its place exactly once.
+    """(lengths of one sequence, how many such sequences) for a histogram; every piece has its place exactly once."""
+    by_program, by_best_fit = solve(lens, counts, room)
+    return by_program + by_best_fit
+
+
+def solve(lens: np.ndarray, counts: np.ndarray, room: int) -> tuple[list[tuple[list[int], int]], list[tuple[list[int], int]]]:
+    """Sequences that the program's solution gives, rounded down, and those that best fit makes of the rest.
 
-    A fractional solution is rounded down at several scales: at a small one more short pieces are left to fill up the
-    sequences that best fit makes of the rest. The rounding with the fewest sequences stays.
+    Best fit also gets back the sequences that the program leaves most room in, and then those it found last, up to a
+    bounded share: short pieces that are left fill up what is odd. Of a few shares the one with the fewest sequences stays.
     """
     order = np.argsort(lens)
-    lens, left = np.asarray(lens, np.int64)[order], np.asarray(counts, np.int64)[order].copy()
-    whole = lens == room
-    out: list[tuple[list[int], int]] = []
-    if whole.any():
-        out.append(([room], int(left[whole][0])))
+    lens, counts = np.asarray(lens, np.int64)[order], np.asarray(counts, np.int64)[order]
+    if not len(lens):
+        return [], []
+    whole, on = np.flatnonzero(lens == room), np.flatnonzero(lens < room)
+    use: dict[tuple[int, ...], float] = {}
+    for config, often in fractional(lens[on], counts[on], room) if len(on) else []:
+        use[config] = use.get(config, 0.0) + often
+    rounded = [(lens[on[list(c)]], int(x + 1e-6)) for c, x in use.items()]
+    rounded = sorted((x for x in rounded if x[1]), key=lambda x: room - int(x[0].sum()))  # stable: of equals the first found come first
+    total, kept = sum(n for _, n in rounded), None
+    for back in (0.0, 0.1, 0.2, 0.4, 0.7, 1.0):
+        stay, out, left = total - int(min(back * RETURNED[0] * total, back * RETURNED[1])), [], counts.copy()
         left[whole] = 0
-    on = np.flatnonzero(left)
-    if not len(on):
-        return out
-    use = fractional(lens[on], left[on], room)
-    # only configurations without waste: each takes one sequence off the least number that the rest can need
-    full = sorted((x for x in use.items() if int(lens[on[list(x[0])]].sum()) == room), key=lambda x: (-x[1], x[0]))
-    tried = [_rounded(lens, left, on, full, scale, room) for scale in (0.8, 0.5, 0.25, 0.1)]
-    return out + min(tried, key=lambda bins: sum(n for _, n in bins))
-
-
-def _rounded(lens: np.ndarray, counts: np.ndarray, on: np.ndarray, use: list[tuple[tuple[int, ...], float]], scale: float, room: int) -> list[tuple[list[int], int]]:
-    """The weights of `use` times scale, rounded down, and best fit for what they leave."""
-    out, left = [], counts.copy()
-    for config, often in use:
-        kinds, times = np.unique(on[list(config)], return_counts=True)
-        n = min(int(often * scale), int((left[kinds] // times).min()))
-        if n > 0:
-            out.append((np.repeat(lens[kinds], times).tolist(), n))
-            left[kinds] -= n * times
-    # a large remainder is thinned evenly: best fit places a sample of it, and the pattern repeats
-    times = int(left.sum()) // BEST_FIT
-    while times > 1 and (left // times).sum() > 1000:
-        out += [(b, times) for b in best_fit_decreasing(np.repeat(lens, left // times).tolist(), room)]
-        left %= times
-        times = int(left.sum()) // BEST_FIT
-    return out + [(b, 1) for b in best_fit_decreasing(np.repeat(lens, left).tolist(), room)]
+        for config, n in rounded:
+            n = min(n, stay)
+            if n:
+                out.append((config.tolist(), n))
+                stay -= n
+                kinds, times = np.unique(config, return_counts=True)
+                left[np.searchsorted(lens, kinds)] -= n * times
+        rest = [(b, 1) for b in best_fit_decreasing(np.repeat(lens, left).tolist(), room)]
+        if kept is None or sum(n for _, n in out) + len(rest) < kept[0]:
+            kept = (sum(n for _, n in out) + len(rest), out, rest)
+    return [([room], int(counts[i])) for i in whole] + kept[1], kept[2]
 
 
 def _layout(bins: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:

@@ -105,9 +105,30 @@ def test_plan_places_every_piece():
             placed[x] = placed.get(x, 0) + n
     assert placed == dict(zip(kinds.tolist(), counts.tolist()))
     assert sum(n for _, n in bins) <= len(configuration.best_fit_decreasing(lens.tolist(), 2048)) + 1
-    use = configuration.fractional(kinds, counts, 2048)  # near the least number that the lengths allow
-    assert sum(use.values()) <= 1.1 * lens.sum() / 2048
+    use = configuration.fractional(kinds, counts, 2048)
+    covered = np.zeros(len(kinds))
+    for config, often in use:
+        np.add.at(covered, list(config), often)
+    assert (covered == counts).all()
+    assert lens.sum() / 2048 <= sum(n for _, n in use) <= 1.002 * lens.sum() / 2048  # near the least number that the lengths allow
     assert configuration.plan(np.array([], int), np.array([], int), 2048) == []
+    assert sum(n for _, n in configuration.plan(np.array([1500, 1600]), np.array([70_000, 1]), 2048)) == 70_001
+
+
+@pytest.mark.parametrize(("sf", "most"), [("sf0.01", 315), ("sf0.1", 3202)])
+def test_the_program_places_nearly_all(sf, most):
+    """Besides whole-length pieces: sequences by the program, by best fit, and the least number there can be."""
+    import pyarrow.parquet as pq
+
+    model, found = bpe.load(bpe.vocabulary("word_bpe_49k.json")), []
+    for b in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).to_batches():
+        found.append(tokens.cuts(tokens.document_tokens(model, b.column("text"), 0)[1], 2048)[2])
+    kinds, counts = np.unique(np.concatenate(found), return_counts=True)
+    by_program, by_best_fit = (sum(n for config, n in part if config != [2048]) for part in configuration.solve(kinds, counts, 2048))
+    least = -(-int((kinds * counts)[kinds < 2048].sum()) // 2048)
+    print(f"{sf}: program {by_program}, best fit {by_best_fit}, least {least}")
+    assert by_best_fit < 0.05 * (by_program + by_best_fit)
+    assert by_program + by_best_fit <= min(most, 1.005 * least + 1)
 
 
 def _expected_pieces(rows, most):
