@@ -37,13 +37,14 @@ def _knapsack(lens: np.ndarray, worth: np.ndarray, room: int) -> np.ndarray:
     return best
 
 
-def fractional(lens: np.ndarray, counts: np.ndarray, room: int, share: float = 0.34, rate: float = 1.0, slack: float = 0.0005) -> list[tuple[tuple[int, ...], float]]:
+def fractional(lens: np.ndarray, counts: np.ndarray, room: int, share: float = 0.34, rate: float = 0.1, slack: float = 0.5, loose: float = 0.05) -> list[tuple[tuple[int, ...], float]]:
     """A fractional solution that covers every length's count exactly: (configuration, how often), ascending indices into lens (ascending), in the order found.
 
-    In each round a length costs exp(rate x its open share), and of every length at most `share` of the count (one
-    piece, if that is more) is used. Steps are whole, so small counts lose nothing to rounding. A round starts a configuration with each open length, longest first, and fills it
-    along the knapsack's table; those whose worth falls behind the table's by more than the share `slack` wait for the
-    next round and its prices. slack grows where a round gets nowhere.
+    In each round a length is worth itself times exp(rate x its open share), and of every length at most `share` of the
+    count (one piece, if that is more) is used. Steps are whole, so small counts lose nothing to rounding. A round
+    starts a configuration with each open length, longest first, and fills it along the knapsack's table with the longest
+    length that is within `loose` of the best: short ones fill up best at the end. A configuration whose worth falls
+    behind the table's by more than `slack` waits for the next round and its prices.
     """
     need = counts.astype(float)
     left = need.copy()
@@ -65,12 +66,13 @@ def fractional(lens: np.ndarray, counts: np.ndarray, room: int, share: float = 0
                     for i in set(config):  # no more of a length than there are
                         if i < k and cap[i] < config.count(i) + 1:
                             value[i] = -1.0
-                    j = k - 1 - int(value[::-1].argmax())  # of equals the longest: short ones fill up best at the end
-                    if value[j] <= 0:
+                    top = value.max()
+                    if top <= 0:
                         break
+                    j = k - 1 - int((value[::-1] >= max(top - loose * best[room], 1e-9)).argmax())
                     config.append(j)
                     got, c = got + worth[j], c - int(lens[j])
-                if got < aim * (1 - slack) - 1e-9 and made:
+                if got < aim * (1 - slack) and made:  # the first of a round always goes on, so rounds end
                     break
                 kinds, times = np.unique(config, return_counts=True)
                 step = float((cap[kinds] // times).min())
@@ -78,7 +80,6 @@ def fractional(lens: np.ndarray, counts: np.ndarray, room: int, share: float = 0
                 left[kinds] -= step * times
                 cap[kinds] -= step * times
                 made += 1
-        slack = min(0.5, max(2 * slack, 0.0005) if made < 16 else slack)
     return use
 
 

@@ -110,7 +110,7 @@ def test_plan_places_every_piece():
     for config, often in use:
         np.add.at(covered, list(config), often)
     assert (covered == counts).all()
-    assert lens.sum() / 2048 <= sum(n for _, n in use) <= 1.002 * lens.sum() / 2048  # near the least number that the lengths allow
+    assert lens.sum() / 2048 <= sum(n for _, n in use) <= 1.01 * lens.sum() / 2048  # near the least number that the lengths allow
     assert configuration.plan(np.array([], int), np.array([], int), 2048) == []
     assert sum(n for _, n in configuration.plan(np.array([1500, 1600]), np.array([70_000, 1]), 2048)) == 70_001
 
