@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles; a longer single text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -25,25 +26,33 @@ NULL_ID = np.iinfo(np.int64).min
 # ---------------------------------------------------------------- shared folder
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one under /tmp only where the session names none (tests)."""
+    """The folder of spark.checkpoint.dir. A local session that names none gets one under /tmp; on a cluster that is an error,
+    as its machines share no such folder."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not (spark.sparkContext.master or "local").startswith("local") or "local-cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"/tmp/checkpoints/{getpass.getuser()}"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, over: Iterable[DataFrame | None] = ()) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it back.
 
-    Every executor sees the files, so a lost executor costs nothing but its running tasks.
-    The files go when the driver's process ends.
+    Every executor sees the files, so a lost executor costs nothing but its running tasks. The files go when the
+    driver's process ends, or when a table that names them in `over` has been written: df was the last to need them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quillon-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillon_path = path
+    for old in over:
+        if gone := getattr(old, "_quillon_path", None):
+            _drop(spark, gone)
+    return out
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -55,6 +64,32 @@ def _drop(spark: SparkSession, path: str) -> None:
         return
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_hash(text: str) -> F.Column:
+    """A 64-bit hash of a text column, by which rows of one key are told apart; null and empty are alike."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, text: str, key: str) -> DataFrame:
+    """Rows of docs with one left of each group: that of the least key, of rows with that key the one of the least text hash.
+
+    groups: (k, h, component) of every row: its key, text_hash and group. Of rows that repeat key and text one stays.
+    Rows with a null key have no part in the choice and all stay.
+    """
+    first = groups.where("k is not null").groupBy("component").agg(F.min(F.struct("k", "h")).alias("x")).select(F.col("x.k").alias("k"), F.col("x.h").alias("h"))
+    name = unused(docs, "_hash")
+    held = docs.withColumn(name, text_hash(text))
+    kept = held.join(first, (held[f"`{key}`"] == first["k"]) & (held[name] == first["h"]), "left_semi").dropDuplicates([key, name]).drop(name)
+    return kept.union(docs.where(F.col(f"`{key}`").isNull()))
+
+
 def shuffle_width(df: DataFrame) -> int:
     """Partitions for a blob shuffle: follows the input's splits, never under the session's setting."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())

@@ -72,9 +72,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # large star: every neighbour above a node moves to the least of node and neighbours
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = materialize(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        large = materialize(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges", over=[e, low])
         # small star: a node and its neighbours below move to the least of them
         least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        e = materialize(small.mapInArrow(_contract, _PAIR), "edges")
+        e = materialize(small.mapInArrow(_contract, _PAIR), "edges", over=[large, least])
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

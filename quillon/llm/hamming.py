@@ -61,16 +61,16 @@ def search(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
             first &= F.when(F.col("seg") > s, near > r).when(F.col("seg") < s, near >= r).otherwise(F.lit(True))
         new = met.where(first).select("query_id", F.bit_count(gap).cast("int").alias("distance"), F.explode("ids").alias("id")).where("id <> query_id")
         every = new if found is None else found.union(new)
-        found = materialize(every.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= k).drop("nth"), "found")
+        found = materialize(every.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= k).drop("nth"), "found", over=[found])
         covered = segments * (r + 1) - 1
         state = found.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
         over = (F.col("n") >= k) & (F.col("far") <= covered) | (F.col("n") >= max(total - 1, 0)) | F.lit(r == bits)
         finished = state.where(over).select("query_id")
         part = found.join(finished, "query_id", "left_semi")
-        ended = materialize(part if ended is None else ended.union(part), "ended")
+        ended = materialize(part if ended is None else ended.union(part), "ended", over=[ended])
         bounds = state.where(F.col("n") >= k).select("query_id", F.col("far").alias("bound"))
-        active = materialize(active.drop("bound").join(finished, "query_id", "left_anti").join(bounds, "query_id", "left"), "queries")
-        found = materialize(found.join(finished, "query_id", "left_anti"), "found")
+        active = materialize(active.drop("bound").join(finished, "query_id", "left_anti").join(bounds, "query_id", "left"), "queries", over=[active])
+        found = materialize(found.join(finished, "query_id", "left_anti"), "found", over=[found])
         if active.isEmpty():
             break
     return ended.withColumn("rank", F.row_number().over(top)).select("query_id", "rank", "id", "distance")

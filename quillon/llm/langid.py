@@ -21,6 +21,8 @@ from .common import flat, steps, tidy
 CELLS = 1 << 16
 #: What a switch of language costs, in nats.
 SWITCH = 15.0
+#: Languages that can be learned: the model is a table with a column for each, and every executor has it.
+MOST_LANGUAGES = 120
 #: Rows of each language that are learned from, at most: the bound of the training sample.
 LEARNED = 1500
 
@@ -113,7 +115,7 @@ def learn(docs: DataFrame, allowed: F.Column | None = None, per_language: int =
     """A model of the languages of docs, from rows with a non-null language that `allowed` admits.
 
     Of each language the `per_language` rows with the least hash of their key are used (all, if it has fewer); that
-    bound is the only sampling there is.
+    bound is the only sampling there is. Rows with a null key, text or language teach nothing, and over MOST_LANGUAGES languages are a ValueError.
     """
     admitted = docs if allowed is None else docs.where(allowed)
     rows = admitted.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull())
@@ -121,6 +123,10 @@ def learn(docs: DataFrame, allowed: F.Column | None = None, per_language: int =
     sizes = rows.groupBy("l").agg(F.count("*").alias("n"))
     hashed = rows.select("l", "k", F.xxhash64("k").alias("h"))
     share = (F.col("h").cast("double") + 2.0**63) / 2.0**64
+    known = sizes.limit(MOST_LANGUAGES + 1).collect()
+    if len(known) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    sizes = rows.sparkSession.createDataFrame(known, sizes.schema)
     few = hashed.join(F.broadcast(sizes), "l").where(share * F.col("n") <= per_language + 8 * per_language**0.5 + 32)
     least = Window.partitionBy("l").orderBy("h", "k")
     chosen = few.withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= per_language).select("l", "k").distinct()

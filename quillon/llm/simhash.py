@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob_schema, gather, materialize, scatter, shuffle_width, steps, tidy
+from .common import blob_schema, gather, keep_first, materialize, scatter, steps, text_hash, tidy
 from .components import connected_components, forest
 
 _U = np.uint64
@@ -49,15 +49,16 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp long) for every row: the fingerprint's 64 bits as a signed number; a null text is one without words."""
+    """(k, h long, fp long) for every row: its key, text_hash and fingerprint, 64 bits as a signed number; a null text is one without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in steps(batch, text):
-                fps = [0 if t is None else fingerprint(t.encode(), shingle, seed) for t in b.column(text).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(np.array(fps, _U).view(np.int64))], names=[key, "fp"])
+            for b in steps(batch, "t"):
+                fps = [0 if t is None else fingerprint(t.encode(), shingle, seed) for t in b.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("h"), pa.array(np.array(fps, _U).view(np.int64))], names=["k", "h", "fp"])
 
-    return docs.select(key, text).mapInArrow(tidy(run), f"{key} {docs.schema[key].dataType.simpleString()}, fp long")
+    plain = docs.select(F.col(f"`{key}`").alias("k"), text_hash(text).alias("h"), F.col(f"`{text}`").alias("t"))
+    return plain.mapInArrow(tidy(run), f"k {docs.schema[key].dataType.simpleString()}, h long, fp long")
 
 
 def _key(segment: int, pos: np.ndarray | int, value: np.ndarray) -> np.ndarray:
@@ -165,19 +166,23 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, distance: int = 2, seed: i
     that minimum. Repeated rows and keys are rows of their own; an empty table gives an empty one. Equal
     fingerprints are one node, so groups of copies of any size cost one.
     """
-    fps = materialize(fingerprints(docs.select(key, text), shingle, seed, text, key), "fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min(key).alias("first")), "distinct")
+    return _grouped(docs, shingle, distance, seed, text, key).select(F.col("k").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, shingle: int = 3, distance: int = 2, seed: int = 42, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(k, h, fp, component, first) of every row: the least fingerprint and the least key of its group."""
+    fps = materialize(fingerprints(docs, shingle, seed, text, key), "fingerprints")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("k").alias("least")), "distinct")
     roots = connected_components(near_edges(distinct.select("fp"), distance))
-    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("component"))
+    named = placed.join(placed.groupBy("component").agg(F.min("least").alias("first")), "component").select("fp", "component", "first")
+    return fps.join(named, "fp").select("k", "h", "fp", "component", "first")
 
 
 def deduplicate(docs: DataFrame, **settings) -> DataFrame:
-    """Rows of docs with one document left of each group: the one with the least key; columns stay as they are.
+    """Rows of docs with one document left of each group; columns stay as they are, whatever their names.
 
-    Of repeated rows with that key one stays. Rows with a null key have no part in the choice and all stay.
+    The one with the least key stays; of several rows with that key the one with the least hash of its text, once. Texts
+    of one key that are not near each other are groups of their own. Rows with a null key have no part in the choice and all stay.
     """
-    key = settings.get("key", "doc_id")
-    kept = simhash_groups(docs, **settings).where(F.col("component_id") == F.col(key)).select(F.col(key).alias("_kept"))
-    return docs.join(kept, docs[key] == F.col("_kept"), "left_semi").dropDuplicates([key]).union(docs.where(F.col(key).isNull()))
+    return keep_first(docs, _grouped(docs, **settings), settings.get("text", "text"), settings.get("key", "doc_id"))

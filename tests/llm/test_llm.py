@@ -578,6 +578,67 @@ def test_cuts():
     assert (row.tolist(), piece.tolist(), length.tolist()) == ([0, 1, 1, 2], [0, 0, 1, 0], [1, 4, 1, 4])
 
 
+# ---------------------------------------------------------------- clashing names, shared keys
+
+def test_no_document_is_lost_that_shares_a_key(spark):
+    from quillon.llm import jaccard
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a b c d"), (1, "q r s t u"), (1, "q r s t u"), (2, "a b c d"), (3, long), (3, long + " x"), (4, long + " y"), (None, "a b c d"), (None, "n n n"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(1, "a b c d"), (1, "q r s t u"), (None, "a b c d"), (None, "n n n"), (5, None)}
+    got = [(r["doc_id"], r["text"]) for r in simhash.deduplicate(docs, distance=0).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want | {(3, long), (3, long + " x"), (4, long + " y")}))
+    got = [(r["doc_id"], r["text"]) for r in jaccard.deduplicate(docs).collect()]
+    assert len(got) == 6 and want < set(got) and {x for x in got if x[0] == 3} < {(3, long), (3, long + " x")}
+
+
+def test_columns_with_inner_names_stay(spark, sf_dir):
+    """Every operator that returns its input's columns, with columns that are called like its own."""
+    import corpus_pipeline as p
+
+    inner = ["k", "h", "t", "fp", "_hash", "_kept", "_first", "node", "root", "first", "component", "component_id", "doc", "mark", "found", "extra_0", "pos", "n", "line", "row", "at", "day", "part", "busy", "name", "count", "spans", "copy", "_host", "_spans", "_copy", "_salt", "_hit", "salt", "l", "bucket", "kind"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    wide = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in inner])
+    for _, stage in p.STAGES[:-1]:
+        plain, out = stage(spark, docs, sf_dir), stage(spark, wide, sf_dir)
+        assert out.columns == wide.columns
+        got = out.collect()
+        assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in plain.collect())
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in got for c in inner)
+    assert stage(spark, wide, sf_dir).count() and p.STAGES[-1][1](spark, wide, sf_dir).count() == p.STAGES[-1][1](spark, docs, sf_dir).count()
+    assert simhash.deduplicate(wide).columns == wide.columns
+    pages = spark.createDataFrame([(1, "http://a.example.org/x", "2024-01-05"), (2, "http://b.org", "2024-01-05")], "page_id long, url string, fetched string")
+    wide = pages.select("*", *[F.concat(F.lit(c), F.col("page_id").cast("string")).alias(c) for c in inner])
+    entries = spark.createDataFrame([("example.org", "2024-01-01", True)], "domain string, day string, listed boolean").withColumn("day", F.col("day").cast("date"))
+    got = urlfilter.flag(wide, entries).collect()
+    assert {r["page_id"]: (r["host"], r["is_listed"], r["matched_domain"]) for r in got} == {1: ("a.example.org", True, "example.org"), 2: ("b.org", False, None)}
+    assert all(r[c] == f"{c}{r['page_id']}" for r in got for c in inner)
+
+
+def test_busy_hosts_are_split_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "PER_TASK", 7)
+    rows = [(i, "http://busy.org/" if i % 3 else f"http://h{i % 11}.org", "2024-01-05") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, fetched string").repartition(3)
+    entries = spark.createDataFrame([("busy.org", "2024-01-01", True), ("h3.org", "2024-02-01", True)], "domain string, day string, listed boolean").withColumn("day", F.col("day").cast("date"))
+    got = {r["page_id"]: r["is_listed"] for r in urlfilter.flag(pages, entries).collect()}
+    assert got == {i: i % 3 != 0 for i in range(200)}
+
+
+def test_a_cluster_names_its_shared_folder(spark):
+    from quillon.llm import common
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        common.shared_folder(Session)
+
+
 # ---------------------------------------------------------------- near copies
 
 def _shingles(text, k=5):
