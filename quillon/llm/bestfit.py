@@ -130,7 +130,7 @@ def pack(docs: DataFrame, vocabulary: str, most: int = 2048, end: int = 0, pad:
         if size:
             yield flush()
 
-    return docs.select(key, text).mapInArrow(tidy(run), "shard int, sequence long, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, docs array<long>, pieces array<int>")
+    return docs.select(key, text).mapInArrow(tidy(run, hold=True), "shard int, sequence long, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, docs array<long>, pieces array<int>")
 
 
 def write(packed: DataFrame, path: str) -> None:

@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from .common import flat, ragged
+from .common import flat, held_over, ragged
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -433,6 +433,7 @@ def load(path: str) -> Bpe:
     """The vocabulary at path, read once by each Python worker."""
     if path not in _loaded:
         _loaded[path] = Bpe(path)
+        held_over.append(_loaded[path])
     return _loaded[path]
 
 

@@ -105,10 +105,22 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, giving memory back when a task ends: Python workers outlive tasks."""
+#: What workers may hold from task to task: things with a reset() that gives their memory back.
+held_over: list = []
+
+
+def let_go() -> None:
+    """Give back what this worker holds over."""
+    for x in held_over:
+        x.reset()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], hold: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving memory back when a task ends: Python workers outlive tasks. hold: what earlier tasks held over is of use, else it goes first."""
 
     def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not hold:
+            let_go()
         try:
             yield from run(batches)
         finally:

@@ -33,7 +33,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc
                 decoded = pa.array([x.decode("utf-8", "replace") for x in _decoded(model, ids, off)], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(key), lists, decoded], names=[key, "ids", "decoded"])
 
-    return docs.select(key, text).mapInArrow(tidy(run), f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>, decoded string")
+    return docs.select(key, text).mapInArrow(tidy(run, hold=True), f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -57,7 +57,7 @@ def digests(docs: DataFrame, vocabulary: str, text: str = "text", key: str = "do
                 decoded = [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in _decoded(model, ids, off)]
                 yield pa.RecordBatch.from_arrays([b.column(key), pa.array(np.diff(off)), pa.array(spelled, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(key, text).mapInArrow(tidy(run), f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(key, text).mapInArrow(tidy(run, hold=True), f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _decoded(model: bpe.Bpe, ids: np.ndarray, off: np.ndarray) -> Iterator[bytes]:

@@ -54,4 +54,4 @@ def token_pieces(docs: DataFrame, vocabulary: str, most: int = 2048, end: int =
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(key, text).mapInArrow(tidy(run), f"{key} {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.select(key, text).mapInArrow(tidy(run, hold=True), f"{key} {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
