@@ -677,3 +677,21 @@ def test_near_duplicate_stage_drops_edited_copies(spark, sf_dir, monkeypatch):
     kept = {r["doc_id"] for r in p.near_duplicates(spark, made, sf_dir).collect()}
     assert kept == {i for i in group if group[i] == i}
     assert {177, 145} & kept == set() or sf_dir != "/root/testdata/sf0.001"
+
+
+def test_fingerprints_of_near_sets_are_near():
+    """Sets of a Jaccard similarity of 0.8 and a bit more: none is farther apart than the filter lets pass, and random ones mostly are."""
+    from quillon.llm import jaccard
+
+    rng, far = np.random.default_rng(4), []
+    for n in (32, 90, 400):
+        sets = []
+        for _ in range(1500):
+            base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            new = int(n * 0.2 / 1.8)  # both lose as many as they have alone: J = (n - new) / (n + new) >= 0.8
+            sets += [base, np.concatenate([base[new:], rng.integers(0, 1 << 63, new).astype(np.uint64)])]
+        fp = jaccard.prints(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), len(sets))
+        assert np.bitwise_count(fp[0::2] ^ fp[1::2]).max() <= jaccard.most_bits(0.8) - 2
+        far.append(np.bitwise_count(fp[0:-2:2] ^ fp[2::2]) > jaccard.most_bits(0.8))
+    assert np.concatenate(far).mean() > 0.9
+    assert fp[0] == sum(1 << i for i in range(64) if 2 * sum(int(x) >> i & 1 for x in sets[0]) > n)
