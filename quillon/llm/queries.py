@@ -130,14 +130,15 @@ ORACLES: dict[str, str] = {
         tw AS (SELECT tid, license, string_split(body, ' ') AS w FROM t),
         tg AS (SELECT tid, g, count(*) AS n FROM (SELECT tid, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM tw) GROUP BY ALL),
         ts AS (SELECT tid, license, len(w) - 1 AS size FROM tw),
-        u AS (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), CASE WHEN contains(text, chr(10)) THEN [text] ELSE [] END)) AS body FROM documents WHERE text IS NOT NULL),
-        k AS (SELECT row_number() OVER () AS uid, doc_id, list_filter(string_split(regexp_replace(lower(body), '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM u),
-        f AS (SELECT uid, doc_id, w FROM k WHERE len(w) - 1 BETWEEN 1 AND (SELECT max(size) * 1.5 FROM ts)),
-        ug AS (SELECT uid, g, count(*) AS n FROM (SELECT uid, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM f) GROUP BY ALL),
-        s AS (SELECT uid, tid, sum(least(ug.n, tg.n)) AS common FROM ug JOIN tg USING (g) GROUP BY ALL),
-        d AS (SELECT s.uid, f.doc_id, ts.license, 2.0::DOUBLE * s.common / (ts.size + len(f.w) - 1) AS dice FROM s JOIN ts USING (tid) JOIN f USING (uid)),
-        b AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY dice DESC, license) AS n FROM d WHERE dice >= 0.8)
-        SELECT doc_id, license, count(*) AS units, round(max(dice), 6) AS score FROM b WHERE n = 1 GROUP BY ALL""",
+        k AS (SELECT row_number() OVER () AS uid, doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+        p AS (SELECT uid, s, w[s] || ' ' || w[s + 1] AS g FROM (SELECT uid, w, unnest(range(1, len(w))) AS s FROM k WHERE len(w) > 1)),
+        h AS (SELECT p.uid, tg.tid, p.s, p.g, tg.n FROM p JOIN tg USING (g)),
+        u AS (SELECT h.uid, h.tid, h.s, least(ts.size, len(k.w) - h.s) AS a, ts.size AS b FROM h JOIN ts USING (tid) JOIN k USING (uid)),
+        c AS (SELECT u.uid, u.tid, u.s, u.a, u.b, h.g, least(count(*), min(h.n)) AS common FROM u JOIN h ON u.uid = h.uid AND u.tid = h.tid AND h.s >= u.s AND h.s < u.s + u.a GROUP BY ALL),
+        d AS (SELECT c.uid, c.tid, c.s, c.a + 1 AS words, ts.license, 2.0::DOUBLE * sum(c.common) / (c.a + c.b) AS dice FROM c JOIN ts USING (tid) GROUP BY c.uid, c.tid, c.s, c.a, c.b, ts.license),
+        f AS (SELECT *, row_number() OVER (ORDER BY dice DESC, words DESC, license, s, tid) AS place FROM d WHERE dice >= 0.8),
+        best AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM f o WHERE o.uid = f.uid AND o.s < f.s + f.words AND f.s < o.s + o.words AND o.place < f.place))
+        SELECT k.doc_id, best.license, count(*) AS units, round(max(best.dice), 6) AS score FROM best JOIN k USING (uid) GROUP BY k.uid, k.doc_id, best.license""",
     "op9_substring": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
         g AS (SELECT doc_id, s, list_slice(words, s, s + 19) AS body FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS s FROM w WHERE len(words) >= 20)),

@@ -297,23 +297,59 @@ def test_language_spans_and_odd(spark, odd, none, sf_dir):
 
 # ---------------------------------------------------------------- 6
 
+def _licences(text, least=0.8):
+    """Undominated units of a text: every template at every start where one of its bigrams stands."""
+    words, units = licenses.normalise(text or ""), []
+    for i, (name, body) in enumerate(licenses.TEMPLATES):
+        template = licenses.normalise(body)
+        bag = licenses.bigrams(template)
+        for s in range(len(words) - 1):
+            if (words[s], words[s + 1]) in bag:
+                part = words[s : s + len(template)]
+                if (score := licenses.dice(licenses.bigrams(part), bag)) >= least:
+                    units.append((-score, -len(part), name, s, i))
+    out: dict = {}
+    for u in units:
+        if not any(o < u and o[3] < u[3] - u[1] and u[3] < o[3] - o[1] for o in units):
+            out.setdefault(u[2], []).append(-u[0])
+    return {n: (len(v), pytest.approx(max(v))) for n, v in out.items()}
+
+
 def test_licenses_brute(spark, odd, none):
-    rng, lines = random.Random(1), [t for _, t in licenses.TEMPLATES]
-    texts = []
-    for i in range(120):
-        words = rng.choice(lines).split()
-        for _ in range(rng.randint(0, 4)):
-            words[rng.randrange(len(words))] = "changed"
-        texts.append((i, "some other line of text\n" * rng.randint(0, 2) + " ".join(words)))
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    want: dict = {}
-    for i, t in texts:
-        for u in [*t.split("\n"), *([t] if "\n" in t else [])]:
-            scored = sorted((-licenses.dice(licenses.bigrams(licenses.normalise(u)), licenses.bigrams(licenses.normalise(b))), n) for n, b in licenses.TEMPLATES)
-            if -scored[0][0] >= 0.8:
-                want.setdefault((i, scored[0][1]), []).append(-scored[0][0])
-    got = {(r["doc_id"], r["license"]): (r["units"], r["score"]) for r in licenses.scan(docs).collect()}
-    assert got == {k: (len(v), max(v)) for k, v in want.items()}
+    rng, bodies, texts = random.Random(1), [t for _, t in licenses.TEMPLATES], []
+    prose = [f"word{i}" for i in range(30)] + ["the", "of", "software", "license", "under", "the", "License"]
+    for _ in range(60):
+        words = []
+        for _ in range(rng.randint(0, 3)):
+            words += rng.choices(prose, k=rng.randint(0, 25))
+            body = rng.choice(bodies).split()
+            if rng.random() < 0.3:
+                body = body[rng.randrange(len(body)) :]
+            words += [w if rng.random() > rng.choice([0, 0.05, 0.12]) else rng.choice(prose) for w in body]
+        texts.append(rng.choice([" ", "\n", "\n * ", "\n# "]).join(words) if rng.random() < 0.5 else "".join(w + rng.choice([" ", " ", " ", "\n// "]) for w in words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got: dict = {}
+    for r in licenses.scan(docs).collect():
+        got.setdefault(r["doc_id"], {})[r["license"]] = (r["units"], r["score"])
+    for i, text in enumerate(texts):
+        assert got.get(i, {}) == _licences(text), text
+    assert sum(map(len, got.values())) > 40
+
+
+def test_wrapped_and_whole_licences_are_found(spark):
+    import textwrap
+
+    rows = []
+    for name, body in licenses.TEMPLATES:
+        wrapped = textwrap.fill(body, 70)
+        rows += [(name, "\n".join("# " + x for x in wrapped.split("\n")) + "\n\nimport os\n"), (name, "Copyright (c) 2020 Somebody\n\n" + wrapped + "\n" + " code" * 200), (name, "some prose before it " * 20 + body.upper() + " and after it" * 20)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {(r["doc_id"], r["license"]): r["score"] for r in licenses.scan(docs).collect()}
+    assert all(got.get((i, name), 0) == 1.0 for i, (name, _) in enumerate(rows))
+    assert len(got) == len(rows)
+
+
+def test_licences_of_nothing(odd, none):
     assert licenses.scan(odd).count() == 0 and licenses.scan(none).count() == 0
 
 
