@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import cumulative_count  # noqa: F401  re-exported for callers that rank features
-
 
 def trim_low_counts(counts: DataFrame, min_exp: int = 3, min_counts: int = 1) -> DataFrame:
     """(var_id, n): features with at least min_counts in at least min_exp observations."""
@@ -36,7 +34,7 @@ def top_detected(counts: DataFrame, var: DataFrame, pct: float = 0.05) -> DataFr
 
 
 def size_factors(counts: DataFrame, obs: DataFrame, var: DataFrame, method: str = "top_fpkm") -> DataFrame:
-    """(obs_id, raw, size_factor) by fpkm, top_fpkm, fpkm_uq, deseq or pooled."""
+    """(obs_id, raw, size_factor) by fpkm, top_fpkm, fpkm_uq, deseq or pooled; an observation whose deseq factor is 0 is an error."""
     cells = obs.select("obs_id")
     if method == "fpkm":
         sums = counts.groupBy("obs_id").agg(F.sum("value").cast("double").alias("raw"))
@@ -45,7 +43,10 @@ def size_factors(counts: DataFrame, obs: DataFrame, var: DataFrame, method: str
     elif method == "fpkm_uq":
         return _scaled(upper_quartile(counts, obs, var.count()))
     elif method == "deseq":
-        return _scaled(median_of_ratios(counts, obs))
+        # a factor of 0, or none, is an error: every count over it would be infinite
+        known = obs.select("obs_id").join(median_of_ratios(counts, obs), "obs_id", "left")
+        bad = F.raise_error(F.concat(F.lit("no median of ratios over 0 for "), F.col("obs_id"))).cast("double")
+        return _scaled(known.withColumn("raw", F.when(F.col("raw") > 0, F.col("raw")).otherwise(bad)))
     elif method == "pooled":
         from .pooling import pooled_factors
 

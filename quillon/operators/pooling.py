@@ -15,8 +15,10 @@ def pooled_factors(counts: DataFrame, obs: DataFrame, var: DataFrame, pools: tup
 
     On the most detected features; pools are windows on a ring of observations ordered by total; the linear system of
     pool factors is solved by least squares with the totals as a weak prior. The driver holds observations times the
-    most detected features.
+    most detected features, and a system of several rows for each observation: over 5,000 observations are an error.
     """
+    if obs.count() > 5_000:
+        raise ValueError("over 5000 observations: pool meta-rows instead")
     small = counts.join(F.broadcast(top_detected(counts, var)), "var_id", "left_semi")
     table = small.toPandas().pivot_table(index="obs_id", columns="var_id", values="value", fill_value=0)
     ids = [r["obs_id"] for r in obs.select("obs_id").orderBy("ord").collect()]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import log_gamma, nb_log_pmf, nb_sf, nb_sf_col, normal_isf
+from ..model import CountMatrix
+from .matrix import feature_moments, feature_moments_factors
 from .scan import bh_fdr
 
 # Where numbers are clipped.
@@ -103,7 +106,8 @@ def _lowess(x: np.ndarray, y: np.ndarray, at: np.ndarray, frac: float = 0.05) ->
 def regularised_alpha(features: DataFrame, exposure: np.ndarray, design: np.ndarray, sample: int = 2000, width: int = 200) -> DataFrame:
     """(var_id, mean_rank, reg_alpha): dispersion as a smooth function of the rank of a feature's mean.
 
-    features: (var_id, ord, x array<double>, mean). Dispersions are fitted for `sample` features evenly spaced by
+    features: (var_id, ord, x array<double>, mean[, e array<double>]); e is a feature's own exposure, such as its rescaled
+    control input, in place of the common one. Dispersions are fitted for `sample` features evenly spaced by
     rank: that bound on a fit is a parameter. A rolling median over the valid ones and a local fit of their logs give
     the value at every rank. All features get theirs.
     """
@@ -120,10 +124,12 @@ def regularised_alpha(features: DataFrame, exposure: np.ndarray, design: np.ndar
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [fit_alpha(np.asarray(x, float), exposure, design) for x in b["x"]]
+            own = b["e"] if "e" in b.columns else [exposure] * len(b)
+            got = [fit_alpha(np.asarray(x, float), np.asarray(e, float), design) for x, e in zip(b["x"], own, strict=True)]
             yield pd.DataFrame({"mean_rank": b["mean_rank"].to_numpy(np.int64), "alpha": [a if ok else np.nan for a, ok in got]})
 
-    todo = features.select("var_id", "x").join(F.broadcast(chosen), "var_id").select("mean_rank", "x").repartition(max(8, len(picks) // 64))
+    kept = ["x", "e"] if "e" in features.columns else ["x"]
+    todo = features.select("var_id", *kept).join(F.broadcast(chosen), "var_id").select("mean_rank", *kept).repartition(max(8, len(picks) // 64))
     fits = todo.mapInPandas(fit, "mean_rank long, alpha double").toPandas().dropna().sort_values("mean_rank")  # `sample` rows at most
     if len(fits) < 3:
         level = float(fits["alpha"].median()) if len(fits) else 1.0
@@ -170,6 +176,44 @@ def finish(raw: DataFrame, clip: float | None = None) -> DataFrame:
     return unit.join(F.broadcast(std)).join(F.broadcast(after)).select("obs_id", "var_id", F.when(F.col("_s1") > 0, F.col("value") * F.col("_s0") / F.col("_s1")).otherwise(F.col("value")).alias("value"))
 
 
+def compute_residuals(m: CountMatrix, design: np.ndarray | None = None, kind: str = "quantile", clip: float | str | None = None, sample: int = 2000) -> CountMatrix:
+    """m with var.mean, var.variance and var.reg_alpha and the layer residuals (obs_id, var_id, value).
+
+    Exposures are obs.size_factor or, if m has the layer normalization_factors, that layer over its mean; a control input
+    counts through such factors only, so a layer "input" without them is an error. Dispersions are fitted for `sample`
+    features and smoothed over ranks of the mean (regularised_alpha); residuals are clipped at +-clip ("auto": the root of
+    9 + observations / 4), observations scaled to one length and the table to its former deviation (finish).
+    design: observations x covariates in the order of obs.ord, a column of ones by default.
+    """
+    own = "normalization_factors" in m.layers
+    if "input" in m.layers and not own:
+        raise KeyError("a control input needs normalization_factors: rescale it first")
+    if not own and "size_factor" not in m.obs.columns:
+        raise KeyError("obs has no size_factor: compute or set size factors first")
+    held = m.obs.orderBy("ord").select("obs_id", *[] if own else ["size_factor"]).toPandas()  # a row for each observation
+    n = len(held)
+    design = np.ones((n, 1)) if design is None else np.asarray(design, float)
+    if len(design) != n:
+        raise ValueError(f"a design of {len(design)} rows for {n} observations")
+    features = m.feature_major()
+    if own:
+        factors = m.layers["normalization_factors"]
+        moments = feature_moments_factors(m.dense(), factors)
+        mean = factors.agg(F.avg("factor").alias("_mean"))
+        scaled = factors.join(F.broadcast(mean)).select("obs_id", "var_id", (F.col("factor") / F.col("_mean")).alias("value"))
+        features = features.join(m.feature_major(scaled).select("var_id", F.col("x").alias("e")), "var_id")
+        exposure = np.ones(n)
+    else:
+        moments = feature_moments(m.counts, m.obs, n)
+        exposure = held["size_factor"].to_numpy(float)
+    features = features.join(moments, "var_id", "left").na.fill(0.0, ["mean", "variance"])
+    alphas = regularised_alpha(features, exposure, design, sample)
+    raw = residuals(features, alphas, held["obs_id"].tolist(), exposure, design, kind)
+    done = finish(raw, float(np.sqrt(9 + n / 4)) if clip == "auto" else clip)
+    var = m.var.drop("mean", "variance", "reg_alpha").join(features.select("var_id", "mean", "variance"), "var_id").join(alphas.select("var_id", "reg_alpha"), "var_id", "left")
+    return replace(m, var=var, layers=m.layers | {"residuals": done})
+
+
 def pseudo_peaks(cells: DataFrame, lfc: DataFrame, alphas: DataFrame, alpha: float = 0.05, min_fc: float = 0.5, min_exp: int = 2) -> DataFrame:
     """(var_id, n): features whose signal is over their input in min_exp observations.
 

@@ -77,10 +77,8 @@ class Tables:
         return self.table("lineitem").where(where).join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_suppkey").cast("string").alias("obs_id"), name.alias("var_id")).agg(F.sum("l_quantity").cast("long").alias("value"))
 
     def cells(self, size: bool = False) -> DataFrame:
-        """(obs_id, var_id, value, input), dense: signal without returned-flag A, input with it; with size: parts of size 10 or less, by brand and size."""
+        """(obs_id, var_id, value, input), dense: signal without returned-flag A, input with it; with size: by brand and size, the random places."""
         part = self.table("part").select("p_partkey", "p_brand", "p_size")
-        if size:
-            part = part.where("p_size <= 10")
         name = F.concat_ws("-", "p_brand", F.col("p_size").cast("string")) if size else F.col("p_brand")
         var = part.select(name.alias("var_id")).distinct()
         flagged = F.col("l_returnflag") == "A"
@@ -123,7 +121,6 @@ DENSE = """dn AS (SELECT o.o, v.v, coalesce(b.x, 0) AS x FROM (SELECT CAST(s_sup
 def cells_sql(name: str, size: bool = False) -> str:
     """Bindings of Tables.cells() as a common table."""
     var = "concat(p_brand, '-', p_size)" if size else "p_brand"
-    small = "WHERE p_size <= 10" if size else ""
-    return f"""{name} AS (SELECT o.o, v.v, coalesce(b.x, 0) AS x, coalesce(b.i, 0) AS i FROM (SELECT CAST(s_suppkey AS VARCHAR) AS o FROM supplier) o CROSS JOIN (SELECT DISTINCT {var} AS v FROM part {small}) v
+    return f"""{name} AS (SELECT o.o, v.v, coalesce(b.x, 0) AS x, coalesce(b.i, 0) AS i FROM (SELECT CAST(s_suppkey AS VARCHAR) AS o FROM supplier) o CROSS JOIN (SELECT DISTINCT {var} AS v FROM part) v
     LEFT JOIN (SELECT CAST(l_suppkey AS VARCHAR) AS o, {var} AS v, CAST(sum(CASE WHEN l_returnflag <> 'A' THEN l_quantity ELSE 0 END) AS BIGINT) AS x, CAST(sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS BIGINT) AS i
-        FROM lineitem JOIN part ON l_partkey = p_partkey {small} GROUP BY ALL) b ON o.o = b.o AND v.v = b.v)"""
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL) b ON o.o = b.o AND v.v = b.v)"""

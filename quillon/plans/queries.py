@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import consensus, differential, embedding, enrich, graph, inputs, intervals, matrix, ranking, regions, residuals
+from ..model import CountMatrix
+from ..operators import annotate, consensus, differential, embedding, enrich, graph, inputs, intervals, matrix, ranking, regions, residuals
 from ..operators.scan import bh_fdr
 from ..sources import text
 from .bindings import DENSE, DISTAL, DOMAINS, DOWNSTREAM, GENES, IV, SIZE, SPARSE, UPSTREAM, Tables, cells_sql
@@ -381,12 +382,12 @@ def enrichment_per_label(t: Tables) -> DataFrame:
 @query()
 def genes_for_term(t: Tables) -> DataFrame:
     m, n = _totals(t)
-    return enrich.genes_for_term(t.membership.where("term_id like 'Brand#1%'"), enrich.hypergeometric(hits(t), m, n), 1.01)
+    return enrich.genes_for_term(t.membership, enrich.hypergeometric(hits(t), m, n), 0.5)
 
 
 @query()
 def top_terms(t: Tables) -> DataFrame:
-    return ranking.top_terms(enrich.wald_table(enrich.poisson_beta(_genes(t), t.membership, 3, MOST)), 10, alpha=1.01)
+    return ranking.top_terms(enrich.wald_table(enrich.poisson_beta(_genes(t), t.membership, 3, MOST)), 10, alpha=0.5)
 
 
 @query()
@@ -396,7 +397,7 @@ def term_clusters(t: Tables) -> DataFrame:
     ids = table.select("term_id").distinct().withColumn("id", F.abs(F.xxhash64("term_id")))
     near = graph.yule_distances(t.membership, table).join(ids.select(F.col("term_id").alias("a"), F.col("id").alias("src")), "a").join(ids.select(F.col("term_id").alias("b"), F.col("id").alias("dst")), "b")
     edges = near.select("src", "dst", (2.0 - F.col("distance")).alias("weight")).where("weight > 0")
-    named = graph.leiden(edges, restarts=3).join(ids, "id").join(table, "term_id")
+    named = graph.leiden(edges).join(ids, "id").join(table, "term_id")
     lead = ranking.leads(named, "label", "score", "term_id")
     return named.join(lead, "label").select("term_id", "score", scalar.wrap_text(scalar.cap_text(F.col("lead"), 60)).alias("cluster"))
 
@@ -461,33 +462,41 @@ def greedy_merge(t: Tables) -> DataFrame:
 
 # ---------------------------------------------------------------- residuals
 
-def _model(t: Tables):
-    """Features of the brand-and-size matrix, exposures and alphas."""
-    from ..model import CountMatrix
-
+def _by_size(t: Tables):
+    """The brand-and-size matrix with size factors."""
     counts = t.by_brand(size=True)
     var = counts.select("var_id").distinct().withColumn("ord", F.abs(F.xxhash64("var_id")))
-    whole = CountMatrix(t.obs, var, counts)
-    n = t.obs.count()
-    factors = matrix.size_factors(counts, t.obs, var, "fpkm")
-    means = matrix.feature_moments(counts, factors, n).select("var_id", "mean")
-    features = whole.feature_major().join(means, "var_id")
-    held = factors.join(t.obs, "obs_id").orderBy("ord").toPandas()  # a row for each observation
-    exposure, design = np.maximum(held["size_factor"].to_numpy(float), 1e-9), np.ones((n, 1))
-    alphas = residuals.regularised_alpha(features, exposure, design)
-    return features, alphas, held["obs_id"].tolist(), exposure, design
+    return annotate.set_size_factors(CountMatrix(t.obs, var, counts), matrix.size_factors(counts, t.obs, var, "fpkm"))
 
 
 @query()
 def nb_residuals(t: Tables) -> DataFrame:
-    features, alphas, ids, exposure, design = _model(t)
-    return residuals.finish(residuals.residuals(features, alphas, ids, exposure, design), clip=float(np.sqrt(9 + len(ids) / 4)))
+    return residuals.compute_residuals(_by_size(t), clip="auto").layers["residuals"]
+
+
+@query()
+def nb_residuals_input(t: Tables) -> DataFrame:
+    """Residuals of the signal where every cell's exposure is its rescaled control input."""
+    cells = t.cells()
+    whole = CountMatrix(t.obs, t.brands, cells.where("value <> 0").select("obs_id", "var_id", "value"))
+    whole.layers["input"] = cells.select("obs_id", "var_id", F.col("input").alias("value"))
+    whole = annotate.set_normalisation_factors(whole, inputs.rescale_center_scale(cells, t.cells(True)))
+    return residuals.compute_residuals(whole).layers["residuals"]
 
 
 @query()
 def chi_square_features(t: Tables) -> DataFrame:
-    features, alphas, ids, exposure, design = _model(t)
-    return ranking.chi_square_features(matrix.sum_of_squares(residuals.residuals(features, alphas, ids, exposure, design)), len(ids) - 1)
+    whole = residuals.compute_residuals(_by_size(t))
+    return ranking.chi_square_features(matrix.sum_of_squares(whole.layers["residuals"]), whole.obs.count() - 1)
+
+
+@query(f"WITH {DENSE}, m AS (SELECT v, avg(x) AS mu FROM dn GROUP BY v) SELECT o AS obs_id, v AS var_id, round((x - mu) / sqrt(mu + 0.3 * mu * mu), 6) AS value FROM dn JOIN m USING (v) WHERE mu > 0")
+def pearson_residuals(t: Tables) -> DataFrame:
+    """Residuals of an intercept alone at one exposure, for which the fitted mean is the mean, at a dispersion of 0.3."""
+    whole = CountMatrix(t.obs, t.brands, t.by_brand())
+    ids = [r["obs_id"] for r in t.obs.orderBy("ord").select("obs_id").collect()]  # a row for each observation
+    alphas = t.brands.select("var_id", F.lit(0.3).alias("reg_alpha"))
+    return residuals.residuals(whole.feature_major(), alphas, ids, np.ones(len(ids)), np.ones((len(ids), 1)), "pearson", centre=False).select("obs_id", "var_id", _r("value"))
 
 
 @query()
@@ -532,9 +541,21 @@ def loo_knn_accuracy(t: Tables) -> DataFrame:
     return graph.balanced_accuracy(graph.knn_vote(graph.knn(t.rows, K), t.rows.select("id", "label")), t.rows.select("id", "label")).select(_r("accuracy"))
 
 
+@query()
+def knn_approximate(t: Tables) -> DataFrame:
+    return graph.knn_approximate(t.rows, K).select("src", "dst", "rank", _r("distance"))
+
+
+@query()
+def cluster_observations(t: Tables) -> DataFrame:
+    """Communities of suppliers by the log-scaled counts of their brands."""
+    whole = CountMatrix(t.obs, t.brands, t.by_brand(), layers={"logcpm": matrix.log_cpm(t.by_brand())})
+    return graph.cluster_rows(whole, "layer", "logcpm")
+
+
 @query()
 def leiden(t: Tables) -> DataFrame:
-    return graph.leiden(graph.snn_weights(graph.knn(t.rows, graph.neighbour_count(t.rows.count()))), restarts=3)
+    return graph.leiden(graph.snn_weights(graph.knn(t.rows, graph.neighbour_count(t.rows.count()))))
 
 
 @query()
@@ -544,22 +565,18 @@ def label_transfer(t: Tables) -> DataFrame:
 
 @query()
 def row_order(t: Tables) -> DataFrame:
-    return embedding.hierarchical_order(t.rows.select("id", "vec"), meta=1000)
+    return embedding.hierarchical_order(t.rows.select("id", "vec"))
 
 
 @query()
 def pca_parallel(t: Tables) -> DataFrame:
-    from ..model import CountMatrix
-
     features = CountMatrix(t.obs, t.brands, t.by_brand()).feature_major()
     ids = [r["obs_id"] for r in t.obs.orderBy("ord").select("obs_id").collect()]
-    return embedding.pca_parallel(features, ids, max_rank=20)[0]
+    return embedding.pca_parallel(features, ids)[0]
 
 
 @query()
 def cca(t: Tables) -> DataFrame:
-    from ..model import CountMatrix
-
     ids = [r["obs_id"] for r in t.obs.orderBy("ord").select("obs_id").collect()]
     make = lambda f: CountMatrix(t.obs, t.brands, t.by_brand(f"l_returnflag = '{f}'")).feature_major()
     x, y = embedding.cca(make("A"), make("R"), ids, ids, 5)
@@ -573,7 +590,7 @@ def layout_2d(t: Tables) -> DataFrame:
 
 @query()
 def cluster_agreement(t: Tables) -> DataFrame:
-    found = graph.leiden(graph.snn_weights(graph.knn(t.rows, K)), restarts=2)
+    found = graph.leiden(graph.snn_weights(graph.knn(t.rows, K)))
     both = found.join(t.rows.select("id", F.col("label").alias("truth")), "id").groupBy("label", "truth").agg(F.count("*").alias("n")).toPandas()
     a, b = np.repeat(both["label"], both["n"]), np.repeat(both["truth"], both["n"])
     return t.spark.createDataFrame([(float(graph.adjusted_mutual_information(a.to_numpy(), b.to_numpy())),)], "ami double")
@@ -587,3 +604,84 @@ def pooled_size_factors(t: Tables) -> DataFrame:
 @query()
 def random_regions(t: Tables) -> DataFrame:
     return text.random_regions(t.sizes, 1000, 50)
+
+
+# ---------------------------------------------------------------- annotations, reads to a matrix
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS obs_id, 1.0::DOUBLE AS d0, CASE WHEN s_nationkey % 2 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS d1, s_acctbal AS d2 FROM supplier")
+def design_matrix(t: Tables) -> DataFrame:
+    obs = t.labels.join(t.table("supplier").select(F.col("s_suppkey").cast("string").alias("obs_id"), "s_acctbal"), "obs_id")
+    return annotate.design_matrix(obs, ["label", "s_acctbal"]).select("obs_id", *[F.col("design")[i].alias(f"d{i}") for i in range(3)])
+
+
+@query("WITH f AS (SELECT s_suppkey, s_suppkey % 7 + 1.0::DOUBLE AS f FROM supplier) SELECT CAST(s_suppkey AS VARCHAR) AS obs_id, round(f / (SELECT avg(f) FROM f), 6) AS size_factor FROM f")
+def user_size_factors(t: Tables) -> DataFrame:
+    given = t.obs.select("obs_id", (F.col("ord") % 7 + 1.0).alias("size_factor"))
+    return annotate.set_size_factors(CountMatrix(t.obs, t.var, t.sparse), given).obs.select("obs_id", _r("size_factor"))
+
+
+@query(f"WITH {SPARSE}, q AS (SELECT o, sum(x) AS total, count(*) AS n, 100.0::DOUBLE * sum(CASE WHEN CAST(v AS BIGINT) % 2 = 0 THEN x ELSE 0 END) / sum(x) AS pct FROM sp GROUP BY o) SELECT o AS obs_id, CAST(total AS BIGINT) AS total, n AS n_detected FROM q WHERE total >= 550 AND n >= 10 AND pct <= 52")
+def qc_filter(t: Tables) -> DataFrame:
+    return annotate.keep_good(matrix.qc_metrics(t.sparse, F.col("var_id").cast("long") % 2 == 0), min_total=550, min_detected=10, max_pct_flagged=52.0).select("obs_id", "total", "n_detected")
+
+
+@query("SELECT vec_id AS id, CASE label WHEN 0 THEN 'none' WHEN 3 THEN 'three' ELSE 'other' END AS label FROM embeddings")
+def recode_labels(t: Tables) -> DataFrame:
+    return annotate.recode(t.rows.select("id", "label"), "label", {0: "none", 3: "three"}, "other")
+
+
+@query("SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
+def value_counts(t: Tables) -> DataFrame:
+    return annotate.value_counts(t.table("lineitem"), "l_returnflag")
+
+
+@query(f"WITH {GENES} SELECT gene, coalesce(lag(s) OVER w, -1) AS prev_start, coalesce(lead(s) OVER w, -1) AS next_start FROM genes WINDOW w AS (PARTITION BY chrom ORDER BY s, ord)")
+def neighbour_starts(t: Tables) -> DataFrame:
+    return annotate.neighbours(t.genes, ["chrom"], ["start", "ord"], ["start"]).select("gene", "prev_start", "next_start")
+
+
+@query(f"WITH {IV} SELECT DISTINCT chrom, s AS start FROM iv WHERE NOT q EXCEPT SELECT chrom, s FROM iv WHERE q")
+def interval_difference(t: Tables) -> DataFrame:
+    return annotate.difference(t.intervals.where("not is_query"), t.query, ["chrom", "start"])
+
+
+READS = "rd AS (SELECT flag AS file, chrom, s, e FROM iv)"
+
+
+def _samples(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([("a", "A", "N"), ("r", "R", "N")], "obs_id string, file string, input string")
+
+
+def _reads_matrix(t: Tables):
+    reads = t.intervals.select(F.col("flag").alias("file"), "chrom", "start", "end")
+    even = t.genes.where("ord % 2 = 0").select("chrom", "start", "end", F.col("gene").alias("name"))
+    odd = t.genes.where("ord % 2 = 1").select("chrom", "start", "end", F.col("gene").alias("name"))
+    return text.matrix_from_reads(reads, even, odd, _samples(t), WIDTH)
+
+
+@query(f"""WITH {GENES}, {IV}, {READS}, h AS (SELECT file, gene, ord, count(*) AS n FROM genes g JOIN rd ON g.chrom = rd.chrom AND g.s < rd.e AND rd.s < g.e GROUP BY ALL),
+    s(obs_id, file, input) AS (VALUES ('a', 'A', 'N'), ('r', 'R', 'N'))
+    SELECT CASE WHEN ord % 2 = 0 THEN 'counts' ELSE 'counts_random' END AS part, obs_id, gene AS var_id, CAST(n AS INTEGER) AS value FROM s JOIN h ON s.file = h.file
+    UNION ALL SELECT CASE WHEN ord % 2 = 0 THEN 'input' ELSE 'input_random' END, obs_id, gene, CAST(n AS INTEGER) FROM s JOIN h ON s.input = h.file""")
+def matrix_from_reads(t: Tables) -> DataFrame:
+    """Target, random and shared control counts of two samples, from intervals as reads."""
+    m = _reads_matrix(t)
+    parts = {"counts": m.counts, "counts_random": m.uns["counts_random"], "input": m.layers["input"], "input_random": m.uns["input_random"]}
+    out = None
+    for name, df in parts.items():
+        one = df.select(F.lit(name).alias("part"), "obs_id", "var_id", "value")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(f"""WITH {IV}, a AS (SELECT flag AS file, count(*) AS total, sum(CASE WHEN CAST(chrom AS BIGINT) % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS assigned FROM iv GROUP BY 1), p(file, input) AS (VALUES ('A', 'N'), ('R', 'A'))
+    SELECT a.file, a.total, a.assigned, round((a.assigned / a.total) / (b.assigned / b.total), 6) AS signal_noise FROM p JOIN a ON p.file = a.file JOIN a b ON p.input = b.file""")
+def mapping_stats(t: Tables) -> DataFrame:
+    rows = t.intervals.select(F.col("flag").alias("file"), F.when(F.col("chrom").cast("long") % 2 == 0, "Assigned").otherwise("Unassigned").alias("status"), F.lit(1).alias("n"))
+    controls = t.spark.createDataFrame([("A", "N"), ("R", "A")], "file string, input string")
+    return text.mapping_stats(rows, controls).select("file", "total", "assigned", _r("signal_noise"))
+
+
+@query(f"WITH {GENES} SELECT gene AS \"GeneID\", chrom AS \"Chr\", s AS \"Start\", e AS \"End\", strand AS \"Strand\" FROM genes")
+def genes_as_saf(t: Tables) -> DataFrame:
+    return text.bed_to_saf(t.genes.select("chrom", "start", "end", "strand", F.col("gene").alias("name")), names=True)

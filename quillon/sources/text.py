@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..model import CountMatrix
+from ..operators.consensus import reads_per_region
+
 
 def _columns(spark: SparkSession, path: str | list[str], names: list[str], comment: str = "#") -> DataFrame:
     lines = spark.read.text(path).where(~F.col("value").startswith(comment) & (F.length("value") > 0))
@@ -76,8 +79,6 @@ def saf(spark: SparkSession, path: str) -> DataFrame:
 
 def random_regions(sizes: DataFrame, n: int = 10_000, length: int = 500, seed: int = 42) -> DataFrame:
     """(chrom, start, end, strand, name): n random places by chromosome size, named r0.. ; the same for a seed."""
-    from pyspark.sql import Window
-
     spark = sizes.sparkSession
     order = Window.orderBy("chrom")  # a row for each chromosome
     room = sizes.where(F.col("size") > length).select("chrom", (F.col("size") - length).alias("room")).withColumn("hi", F.sum("room").over(order)).withColumn("lo", F.col("hi") - F.col("room"))
@@ -91,9 +92,49 @@ def coo_matrix(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("obs_id").cast("string").alias("obs_id"), F.col("var_id").cast("string").alias("var_id"), F.col("value").cast("int").alias("value"))
 
 
-def mapping_stats(assigned: DataFrame) -> DataFrame:
-    """(file, total, assigned): reads (file, status, n) by file."""
-    return assigned.groupBy("file").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("status") == "Assigned", F.col("n")).otherwise(0)).alias("assigned"))
+def mapping_stats(assigned: DataFrame, controls: DataFrame | None = None) -> DataFrame:
+    """(file, total, assigned): reads (file, status, n) by file. With controls (file, input) also signal_noise: the share
+    assigned over that of the file's input, null for all if two files have one input."""
+    stats = assigned.groupBy("file").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("status") == "Assigned", F.col("n")).otherwise(0)).alias("assigned"))
+    if controls is None:
+        return stats
+    share = F.col("assigned") / F.col("total")
+    own = stats.join(controls.select("file", "input"), "file")
+    apart = controls.agg((F.count("input") == F.countDistinct("input")).alias("apart"))
+    of_input = stats.select(F.col("file").alias("input"), share.alias("input_share"))
+    return own.join(of_input, "input", "left").join(F.broadcast(apart)).select("file", "total", "assigned", F.when(F.col("apart"), share / F.col("input_share")).alias("signal_noise"))
+
+
+def with_random(regions: DataFrame, random: DataFrame) -> DataFrame:
+    """(chrom, start, end, var_id, is_random): regions (chrom, start, end, name) and then the random ones."""
+    some = lambda df, flag: df.select("chrom", "start", "end", F.col("name").alias("var_id"), F.lit(flag).alias("is_random"))
+    return some(regions, False).union(some(random, True))
+
+
+def split_random(counts: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts (obs_id, var_id, value) at the regions proper, and at the random ones of with_random()."""
+    flagged = counts.join(regions.select("var_id", "is_random"), "var_id")
+    return tuple(flagged.where(w).select("obs_id", "var_id", "value") for w in (~F.col("is_random"), F.col("is_random")))
+
+
+def matrix_from_reads(reads: DataFrame, regions: DataFrame, random: DataFrame, samples: DataFrame, width: int | None = None) -> CountMatrix:
+    """The annotated matrix of reads (file, chrom, start, end) over regions and random regions (chrom, start, end, name).
+
+    samples: (obs_id, file[, input]); input names the file of a sample's control, which several may share. Counts of the
+    controls become the layer "input" and, at random regions, the table "input_random"; "counts_random" has the samples'.
+    """
+    every = with_random(regions, random)
+    found = reads_per_region(reads, every, "file", width).where("value <> 0")
+    has_input = "input" in samples.columns
+    counts, at_random = split_random(samples.join(found, "file").select("obs_id", "var_id", "value"), every)
+    order = F.row_number().over(Window.orderBy("obs_id")) - 1  # a row for each sample
+    names = regions.select(F.col("name").alias("var_id"), "chrom", "start", "end")
+    tiles = names.withColumn("ord", F.monotonically_increasing_id())
+    out = CountMatrix(samples.select("obs_id", order.cast("long").alias("ord")), tiles, counts, uns={"counts_random": at_random})
+    if has_input:
+        control = shared_inputs(samples.where(F.col("input").isNotNull()).select("obs_id", "input"), found.select(F.col("file").alias("input"), "var_id", "value"))
+        out.layers["input"], out.uns["input_random"] = split_random(control, every)
+    return out
 
 
 def shared_inputs(samples: DataFrame, per_input: DataFrame) -> DataFrame:

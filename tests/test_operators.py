@@ -8,8 +8,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillon import model
+from quillon.model import CountMatrix, from_arrays
 from quillon.functions import scalar
-from quillon.operators import consensus, differential, embedding, enrich, graph, inputs, intervals, matrix, ranking, regions, residuals, scan
+from quillon.operators import annotate, consensus, differential, embedding, enrich, graph, inputs, intervals, matrix, ranking, regions, residuals, scan
 from quillon.sources import text
 
 
@@ -245,11 +246,260 @@ def test_residual_queries_fit_the_default_sample(spark, sf_dir, monkeypatch):
 
     usual, asked = inspect.signature(residuals.regularised_alpha), []
 
+    fit = residuals.regularised_alpha
+
     def spy(*args, **named):
         bound = usual.bind(*args, **named)
         bound.apply_defaults()
         asked.append(bound.arguments["sample"])
+        return fit(*args, **named)
 
     monkeypatch.setattr(residuals, "regularised_alpha", spy)
-    plans._model(plans.Tables(spark, sf_dir))
-    assert asked == [2000]
+    for name in ("nb_residuals", "nb_residuals_input", "chi_square_features"):
+        plans.QUERIES[name](spark, sf_dir)
+    assert asked == [2000] * 3
+
+
+# ---------------------------------------------------------------- annotations, factors, reads
+
+def test_rolling_median_by_tiles(spark):
+    rng = np.random.default_rng(0)
+    rows = [(g, int(i), float(rng.normal())) for g, n in (("a", 700), ("b", 90), ("c", 1)) for i in rng.permutation(n)]
+    df = frame(spark, rows, "g string, i int, x double").repartition(4)
+    for tile in (None, 40):
+        got = {(r["g"], r["i"]): r["median"] for r in ranking.rolling_median(df, "x", ["i"], ["g"], 20, tile).collect()}
+        for g in "abc":
+            x = np.array([v for _, v in sorted((i, v) for h, i, v in rows if h == g)])
+            assert np.allclose([got[g, i] for i in range(len(x))], [np.median(x[max(0, i - 10) : i + 10]) for i in range(len(x))])
+        assert len(got) == len(rows)
+    same = frame(spark, [("a", 1, float(i)) for i in range(300)], "g string, i int, x double")
+    assert ranking.rolling_median(same, "x", ["i"], ["g"], 20, 40).count() == 300
+
+
+def test_designs_and_factors(spark):
+    obs = frame(spark, [("a", 0, "x", 1.5), ("b", 1, "y", 2.0), ("c", 2, "z", 0.0)], "obs_id string, ord long, kind string, age double")
+    assert [r["design"] for r in annotate.design_matrix(obs).orderBy("ord").collect()] == [[1.0]] * 3
+    assert [r["design"] for r in annotate.design_matrix(obs, ["kind", "age"]).orderBy("ord").collect()] == [[1, 0, 0, 1.5], [1, 1, 0, 2], [1, 0, 1, 0]]
+    with pytest.raises(KeyError):
+        annotate.design_matrix(obs, ["no"])
+    var, counts = frame(spark, [("v", 0)], "var_id string, ord long"), frame(spark, [("a", "v", 3)], "obs_id string, var_id string, value int")
+    m = CountMatrix(obs, var, counts)
+    given = frame(spark, [("a", 1.0), ("b", 2.0), ("c", 3.0)], "obs_id string, size_factor double")
+    assert [r["size_factor"] for r in annotate.set_size_factors(m, given).obs.orderBy("ord").collect()] == [0.5, 1.0, 1.5]
+    with pytest.raises(Exception, match="no size factor over 0 for c"):
+        annotate.set_size_factors(m, given.where("obs_id <> 'c'")).obs.collect()
+    factors = frame(spark, [("a", "v", 1.0), ("b", "v", 0.0), ("c", "v", 1.0)], "obs_id string, var_id string, factor double")
+    with pytest.raises(Exception, match="no factor over 0 for b v"):
+        annotate.set_normalisation_factors(m, factors).layers["normalization_factors"].collect()
+    with pytest.raises(Exception, match="no median of ratios over 0"):
+        matrix.size_factors(counts, obs, var, "deseq").collect()
+    assert {r["kind"]: r["n"] for r in annotate.value_counts(annotate.recode(obs, "kind", {"x": "first"}), "kind").collect()} == {"first": 1, "y": 1, "z": 1}
+    assert annotate.recode(obs, "kind", {}, "any").select("kind").distinct().collect()[0][0] == "any"
+
+
+def test_signal_to_noise_needs_inputs_of_their_own(spark):
+    rows = frame(spark, [("s", "Assigned", 60), ("s", "No", 40), ("i", "Assigned", 10), ("i", "No", 90), ("t", "Assigned", 5), ("t", "No", 5)], "file string, status string, n long")
+    one = frame(spark, [("s", "i")], "file string, input string")
+    assert text.mapping_stats(rows, one).first()["signal_noise"] == pytest.approx(6.0)
+    shared = frame(spark, [("s", "i"), ("t", "i")], "file string, input string")
+    assert {r["signal_noise"] for r in text.mapping_stats(rows, shared).collect()} == {None}
+
+
+# ---------------------------------------------------------------- residuals
+
+def test_fits_solve_the_score_equations():
+    rng = np.random.default_rng(6)
+    n = 400
+    design = np.column_stack([np.ones(n), rng.integers(0, 2, n)])
+    exposure = rng.uniform(0.5, 3, n)
+    mean = exposure * np.exp(design @ [1.2, 0.7])
+    y = rng.negative_binomial(1 / 0.4, 1 / (1 + 0.4 * mean)).astype(float)
+    mu = residuals.fit_mean(y, exposure, design, 0.4)
+    assert np.abs(design.T @ ((y - mu) / (1 + 0.4 * mu))).max() < 1e-6
+    alpha, ok = residuals.fit_alpha(y, exposure, design)
+    assert ok and alpha == pytest.approx(0.4, rel=0.3)
+    beta = np.linalg.lstsq(design, np.log(mu / exposure), rcond=None)[0]
+    assert beta == pytest.approx([1.2, 0.7], abs=0.2)
+
+
+def _simulated(spark, n_obs=40, n_var=120, planted=8, seed=1):
+    rng = np.random.default_rng(seed)
+    mean = rng.uniform(5, 60, n_var)[None, :] * np.ones((n_obs, 1))
+    mean[: n_obs // 2, :planted] *= 6
+    counts = rng.negative_binomial(10, 1 / (1 + 0.1 * mean))
+    m = from_arrays(spark, counts)
+    return counts, annotate.set_size_factors(m, m.obs.select("obs_id", F.lit(1.0).alias("size_factor")))
+
+
+def test_compute_residuals_finds_planted_features(spark):
+    counts, m = _simulated(spark)
+    done = residuals.compute_residuals(m)
+    ssr = matrix.sum_of_squares(done.layers["residuals"])
+    chosen = {int(r["var_id"]) for r in ranking.chi_square_features(ssr, len(counts) - 1).collect()}
+    assert set(range(8)) <= chosen and len(chosen) < 20
+    var = done.var.toPandas().set_index("var_id")
+    assert var["mean"].loc["3"] == pytest.approx(counts[:, 3].mean()) and var["reg_alpha"].between(0.01, 10).all()
+    with pytest.raises(KeyError):
+        residuals.compute_residuals(CountMatrix(m.obs.drop("size_factor"), m.var, m.counts))
+    with pytest.raises(ValueError):
+        residuals.compute_residuals(m, np.ones((3, 1)))
+
+
+def test_input_exposures_take_out_what_the_input_explains(spark):
+    counts, m = _simulated(spark)
+    factor = np.ones(counts.shape)
+    factor[: len(counts) // 2, :8] = 6.0  # the control rises where the signal does
+    rows = [(str(i), str(j), float(factor[i, j])) for i in range(factor.shape[0]) for j in range(factor.shape[1])]
+    given = frame(spark, rows, "obs_id string, var_id string, factor double")
+    with pytest.raises(KeyError):
+        residuals.compute_residuals(CountMatrix(m.obs, m.var, m.counts, layers={"input": m.counts}))
+    done = residuals.compute_residuals(annotate.set_normalisation_factors(m, given))
+    ssr = {int(r["var_id"]): r["ssr"] for r in matrix.sum_of_squares(done.layers["residuals"]).collect()}
+    plain = {int(r["var_id"]): r["ssr"] for r in matrix.sum_of_squares(residuals.compute_residuals(m).layers["residuals"]).collect()}
+    assert np.mean([ssr[i] for i in range(8)]) < 1.5 * np.mean([ssr[i] for i in range(8, 120)])
+    assert np.mean([plain[i] for i in range(8)]) > 2 * np.mean([plain[i] for i in range(8, 120)])
+
+
+# ---------------------------------------------------------------- graphs
+
+def test_leiden_communities_are_connected_and_good(spark):
+    # a ring of cliques: each clique is a community
+    edges = [(10 * c + i, 10 * c + j, 1.0) for c in range(12) for i in range(10) for j in range(10) if i != j]
+    edges += [(10 * c, (10 * c + 10) % 120, 1.0) for c in range(12)]
+    got = {r["id"]: r["label"] for r in graph.leiden(frame(spark, edges, "src long, dst long, weight double"), restarts=2).collect()}
+    assert len(set(got.values())) == 12 and all(got[10 * c + i] == got[10 * c] for c in range(12) for i in range(10))
+    rng = np.random.default_rng(3)
+    s, d = rng.integers(0, 300, 900), rng.integers(0, 300, 900)
+    s, d = s[s != d], d[s != d]
+    w = np.ones(len(s))
+    label = graph._communities(300, s, d, w, 1.0, np.random.default_rng(0))
+    assert graph.modularity(s, d, w, label) > 0.38  # random graphs of this kind have about 0.4
+    for c in np.unique(label):
+        node = set(np.flatnonzero(label == c).tolist())
+        reached, todo = set(), [min(node)]
+        while todo:
+            x = todo.pop()
+            if x not in reached:
+                reached.add(x)
+                todo += [y for y in [*d[s == x].tolist(), *s[d == x].tolist()] if y in node]
+        assert reached == node
+
+
+def test_approximate_neighbours(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 4, (40, 20))
+    x = centres[rng.integers(0, 40, 3000)] + rng.normal(0, 1, (3000, 20))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    exact = {(r["src"], r["dst"]) for r in graph.knn(rows, 10).collect()}
+    got = graph.knn_approximate(rows, 10, leaf=256).toPandas()
+    assert len(set(zip(got["src"], got["dst"])) & exact) / len(exact) >= 0.9
+    assert (got.groupby("src")["rank"].max() == 10).all() and (got["src"] != got["dst"]).all()
+    some = rows.where("id < 60")
+    assert {(r["src"], r["dst"]) for r in graph.knn_approximate(some, 5).collect()} == {(r["src"], r["dst"]) for r in graph.knn(some, 5).collect()}
+    twins = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(500)], "id long, vec array<double>")
+    assert graph.knn_approximate(twins, 3, leaf=16).groupBy("src").count().where("count = 3").count() == 500
+
+
+def test_cluster_rows(spark):
+    rng = np.random.default_rng(8)
+    truth = rng.integers(0, 3, 90)
+    x = np.eye(3)[truth] * 10 + rng.normal(0, 0.3, (90, 3))
+    obs = spark.createDataFrame([(f"o{i}", i) for i in range(90)], "obs_id string, ord long")
+    var = spark.createDataFrame([(f"v{j}", j) for j in range(3)], "var_id string, ord long")
+    layer = spark.createDataFrame([(f"o{i}", f"v{j}", float(x[i, j])) for i in range(90) for j in range(3)], "obs_id string, var_id string, value double")
+    pca = spark.createDataFrame([(f"o{i}", v.tolist()) for i, v in enumerate(x)], "obs_id string, vec array<double>")
+    m = CountMatrix(obs, var, layer, layers={"l": layer}, obsm={"X_pca": pca})
+    for kw in ({}, {"on": "layer", "which": "l"}, {"approximate": False}):
+        got = {r["obs_id"]: r["label"] for r in graph.cluster_rows(m, **kw).collect()}
+        assert graph.adjusted_mutual_information(truth, np.array([got[f"o{i}"] for i in range(90)])) > 0.7
+    with pytest.raises(ValueError):
+        graph.cluster_rows(m, "rows")
+    with pytest.raises(KeyError):
+        graph.cluster_rows(m, "obsm", "no")
+
+
+def test_layout_keeps_groups_together(spark):
+    rng = np.random.default_rng(8)
+    truth = np.repeat([0, 1, 2], 60)
+    x = np.eye(3)[truth] * 12 + rng.normal(0, 1, (180, 3))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    got = embedding.layout_rows(rows, graph.knn(rows, 10)).toPandas().sort_values("id")[["x", "y"]].to_numpy()
+    mid = np.stack([got[truth == c].mean(0) for c in range(3)])
+    assert (np.argmin(((got[:, None] - mid[None]) ** 2).sum(2), 1) == truth).mean() > 0.95
+    a, b, w = embedding.fuzzy_weights(graph.knn(rows, 10).toPandas(), 180)
+    assert (a < b).all() and ((w > 0) & (w <= 1 + 1e-9)).all()
+
+
+# ---------------------------------------------------------------- model, rasters, files
+
+def test_matrix_is_written_and_read(spark, tmp_path):
+    m = from_arrays(spark, np.array([[1, 0], [2, 3]]), input_counts=np.array([[1, 1], [0, 2]]))
+    m.obsm["X"] = spark.createDataFrame([("0", [1.0]), ("1", [2.0])], "obs_id string, vec array<double>")
+    m.write(str(tmp_path / "m"))
+    back = CountMatrix.read(spark, str(tmp_path / "m"), layers=("input",), obsm=("X",))
+    for a, b in ((m.obs, back.obs), (m.counts, back.counts), (m.layers["input"], back.layers["input"]), (m.obsm["X"], back.obsm["X"])):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    with pytest.raises(KeyError):
+        back.need("layers", "no")
+
+
+def test_raster_of_three_axes(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2, 9, 7))
+    cells = frame(spark, [(d, i, j, float(x[d, i, j])) for d in range(2) for i in range(9) for j in range(7)], "depth int, i int, j int, value double")
+    got = {(r["depth"], r["x"], r["y"]): r["value"] for r in matrix.raster(cells, 9, 7, 4, 3, by=("depth",)).collect()}
+    for d in range(2):
+        top, low = np.zeros((4, 3)), np.zeros((4, 3))
+        for i in range(9):
+            for j in range(7):
+                fx, fy = 4 * i / 9, 3 * j / 7
+                for a in (0, 1):
+                    for b in (0, 1):
+                        px, py = int(fx) + a, int(fy) + b
+                        if px < 4 and py < 3:
+                            w = 1 - abs(px - fx) * abs(py - fy)
+                            top[px, py] += w * x[d, i, j]
+                            low[px, py] += w
+        assert np.allclose([[got[d, i, j] for j in range(3)] for i in range(4)], top / (1e-9 + low))
+
+
+def test_other_files(spark, tmp_path):
+    (tmp_path / "d.bed").write_text("1\t5\t9\tg1\n2\t0\t4\tg2\n")
+    assert [tuple(r) for r in text.regulatory_bed(spark, str(tmp_path / "d.bed")).orderBy("chrom").collect()] == [("1", 5, 9, "g1"), ("2", 0, 4, "g2")]
+    (tmp_path / "p.bed").write_text("1\t5\t9\tn\t3\t+\t7\n")
+    r = text.peaks(spark, [str(tmp_path / "p.bed")], "bed").first()
+    assert (r["start"], r["end"], r["strand"], r["summit"], r["score"]) == (5, 9, "+", 7, 3.0)
+    regions = frame(spark, [("1", 5, 9, "g1", 0)], "chrom string, start long, end long, name string, ord long")
+    text.write_tsv(text.bed_to_saf(regions, names=True), str(tmp_path / "saf"))
+    assert [tuple(r) for r in text.saf(spark, str(tmp_path / "saf")).collect()] == [("1", 5, 9, ".", "g1")]
+    track = frame(spark, [("+", "1", 10, [0.5, 1.25])], "strand string, chrom string, start long, values array<double>")
+    text.density_track(track, str(tmp_path / "wig"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "wig")).collect()] == ["fixedStep chrom=1 start=11 step=5", "0.5", "1.25"]
+
+
+def test_cca_finds_the_shared_axis(spark):
+    rng = np.random.default_rng(4)
+    axis = np.linspace(-1, 1, 30)
+    x = np.outer(axis, rng.normal(size=50)) + rng.normal(0, 0.05, (30, 50))
+    wide = lambda a: spark.createDataFrame([(f"v{j}", j, a[:, j].tolist()) for j in range(50)], "var_id string, ord long, x array<double>")
+    ids = [f"o{i}" for i in range(30)]
+    a, b = embedding.cca(wide(x), wide(x + rng.normal(0, 0.05, x.shape)), ids, ids, 2)
+    for side in (a, b):
+        first = np.array([r["vec"][0] for r in sorted(side.collect(), key=lambda r: int(r["obs_id"][1:]))])
+        assert abs(np.corrcoef(first, axis)[0, 1]) > 0.98
+
+
+def test_pooled_factors_follow_depth(spark):
+    rng = np.random.default_rng(9)
+    depth = rng.uniform(0.5, 2, 60)
+    m = from_arrays(spark, rng.poisson(np.outer(depth, rng.uniform(5, 50, 80))))
+    got = {r["obs_id"]: r["size_factor"] for r in matrix.size_factors(m.counts, m.obs, m.var, "pooled").collect()}
+    assert np.corrcoef([got[str(i)] for i in range(60)], depth)[0, 1] > 0.95
+
+
+def test_per_peak_widths(spark):
+    rows = [("1", a, a + w, "+", a + w // 2) for a, w in ((100, 40), (104, 40), (400, 8), (401, 8), (700, 200))]
+    peaks = consensus.normalise_peaks(frame(spark, rows, "chrom string, start long, end long, strand string, summit long"))
+    sizes = frame(spark, [("1", 2000)], "chrom string, size long")
+    got = sorted((r["start"], r["end"], r["n_peaks"]) for r in consensus.merge_peaks(peaks, sizes, per_peak=True).collect())
+    assert got == [(100, 144, 2), (400, 409, 2)]
