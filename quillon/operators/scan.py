@@ -9,20 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tiles of a global scan.
-TILES = 64
+from ..sources.tables import settle
+
+#: Rows of one tile of a global scan, about; and the most tiles, whose carry tables have a row each.
+TILE_ROWS, TILES = 1 << 20, 4096
 
 
 def _tiled(df: DataFrame, by: str) -> DataFrame:
-    """df with _tile: number of cut points at or under the value; cut points are approximate quantiles."""
-    cuts = df.approxQuantile(by, [i / TILES for i in range(1, TILES)], 0.005)
+    """df with _tile: number of cut points at or under the value; cut points are approximate quantiles, as many as the rows call for."""
+    tiles = min(TILES, max(8, df.count() // TILE_ROWS))
+    cuts = df.approxQuantile(by, [i / tiles for i in range(1, tiles)], 0.3 / tiles)
     bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
     return df.withColumn("_tile", F.size(F.filter(bounds, lambda c: c <= F.col(by))))
 
 
 def cumulative_count(values: DataFrame, by: str) -> DataFrame:
     """Distinct non-null values of column `by` with _upto: how many rows are at most as large; and _all: rows in all."""
-    counts = values.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("_n")).persist()
+    counts = settle(values.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("_n")))
     tiled = _tiled(counts, by)
     tile = tiled.groupBy("_tile").agg(F.sum("_n").alias("_s"))
     every = Window.orderBy("_tile")  # over at most TILES rows
@@ -42,7 +45,8 @@ def bh_fdr(df: DataFrame, p: str, out: str, within: list[str] | None = None) ->
         down = Window.partitionBy(*within).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)
         ok = df.withColumn("_raw", F.when(F.col(p).isNotNull(), F.col(p) * F.count(p).over(family).cast("double") / F.count(p).over(up)))
         return ok.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("_raw").over(down)))).drop("_raw")
-    ranked = cumulative_count(df.select(F.col(p).alias("_p")), "_p").withColumn("_raw", F.col("_p") * F.col("_all").cast("double") / F.col("_upto")).persist()
+    df = settle(df)  # values are joined by equality below, so both sides must be one computation
+    ranked = settle(cumulative_count(df.select(F.col(p).alias("_p")), "_p").withColumn("_raw", F.col("_p") * F.col("_all").cast("double") / F.col("_upto")))
     tiled = _tiled(ranked, "_p")
     later = tiled.groupBy("_tile").agg(F.min("_raw").alias("_m")).withColumn("_later", F.min("_m").over(Window.orderBy(F.desc("_tile")).rowsBetween(Window.unboundedPreceding, -1)))
     own = F.min("_raw").over(Window.partitionBy("_tile").orderBy(F.desc("_p")))
