@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import bpe
-from .common import id_column, ids_of, steps, tidy
+from .common import id_column, ids_of, ragged, steps, tidy
 from .encoding import ENCODE_BYTES
 from .tokens import cuts, document_tokens
 
@@ -79,8 +80,11 @@ def pack(docs: DataFrame, vocabulary: str, most: int = 2048, end: int = 0, pad:
     at 0 in each segment and in the padding. docs, pieces: the document and piece of each segment; pieces of
     one document joined in order are its ids and `end`, nothing lost. (shard, sequence) tells sequences apart;
     shard is the task's number. Null or empty texts are `end` alone, repeated rows are packed each; a null key
-    stays null; an empty table gives an empty one.
+    stays null; an empty table gives an empty one. A task packs about POOL tokens at a time, so which documents share a
+    sequence follows from how the input is split. The key is an integer column, else TypeError.
     """
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be an integer column")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = bpe.load(vocabulary)  # chunks it has met in earlier tasks are known
@@ -94,15 +98,13 @@ def pack(docs: DataFrame, vocabulary: str, most: int = 2048, end: int = 0, pad:
             start = np.cumsum(length) - length
             sequence, offset, n = place(length, most)
             ids = np.full(n * most, pad, "<u4")
-            positions = np.tile(np.arange(most, dtype="<u4"), n)
             order = np.lexsort((offset, sequence))
             used = np.bincount(sequence, length, n).astype(np.int64)
-            for i in order.tolist():
-                at, k = int(sequence[i]) * most + int(offset[i]), int(length[i])
-                ids[at : at + k] = tokens[start[i] : start[i] + k]
-                positions[at : at + k] = np.arange(k)
-            for s in np.flatnonzero(used < most).tolist():
-                positions[s * most + used[s] : (s + 1) * most] = np.arange(most - used[s])
+            to = ragged(sequence * most + offset, length)
+            ids[to] = tokens[ragged(start, length)]
+            positions = np.arange(n * most, dtype=np.int64) - np.repeat(np.arange(n) * most + used, most)  # in the padding
+            positions[to] = ragged(np.zeros(len(length), np.int64), length)
+            positions = positions.astype("<u4")
             bounds = np.searchsorted(sequence[order], np.arange(n + 1))
             ends = (offset + length)[order]
             cu = [[0, *ends[bounds[s] : bounds[s + 1]].tolist()] for s in range(n)]

@@ -177,6 +177,77 @@ def test_bestfit_round_trip(spark, odd, none, sf_dir):
     assert bestfit.pack(none, path).count() == 0
 
 
+def test_placing_is_best_fit_decreasing():
+    """Each length, longest first, goes where it leaves least room: as in the plain list of rooms."""
+    rng = np.random.default_rng(6)
+    for most in (10, 97, 2048):
+        lengths = np.concatenate([rng.integers(1, most + 1, 400), rng.integers(1, max(2, most // 5), 300), np.full(20, most)])
+        sequence, offset, n = bestfit.place(lengths, most)
+        rooms: list[int] = []
+        for i in np.argsort(-lengths, kind="stable"):
+            fits = [r for r in rooms if r >= lengths[i]]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else most) - lengths[i])
+        assert n == len(rooms) and sorted(most - np.bincount(sequence, lengths, n).astype(int)) == sorted(rooms)
+        for s in range(n):
+            mine = np.flatnonzero(sequence == s)
+            mine = mine[np.argsort(offset[mine])]
+            assert offset[mine].tolist() == [0, *np.cumsum(lengths[mine]).tolist()[:-1]]
+
+
+def test_matrix_query_end_to_end(spark, sf_dir, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary("word_bpe_49k.json"))
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in docs.items()}
+    seen: dict = {}
+    for r in queries.op10_bestfit_matrix(spark, sf_dir).collect():
+        row, pos = [], []
+        for doc, piece, a, b in zip(r["docs"], r["pieces"], r["cu_seqlens"], r["cu_seqlens"][1:]):
+            part = ids[doc][piece * 2048 : (piece + 1) * 2048]
+            assert len(part) == b - a and (doc, piece) not in seen
+            seen[doc, piece] = True
+            row, pos = row + part, [*pos, *range(b - a)]
+        assert len(row) == r["n_tokens"] and r["n_segments"] == len(r["docs"])
+        pos += range(2048 - len(row))
+        assert zlib.crc32(np.array(row + [0] * (2048 - len(row)), "<u4").tobytes()) == r["ids_crc32"]
+        assert zlib.crc32(np.array(pos, "<u4").tobytes()) == r["positions_crc32"]
+    assert set(seen) == {(i, k) for i, x in ids.items() for k in range(-(-len(x) // 2048))}
+    packed = bestfit.pack(spark.createDataFrame([(1, "a b c"), (2, "d")], "doc_id long, text string"), bpe.vocabulary("word_bpe_49k.json"), most=16)
+    bestfit.write(packed, str(tmp_path / "packed"))
+    back = bestfit.unpack(spark.read.parquet(str(tmp_path / "packed"))).collect()
+    assert {r["doc"]: r["ids"] for r in back} == {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in ((1, "a b c"), (2, "d"))}
+    with pytest.raises(TypeError):
+        bestfit.pack(spark.createDataFrame([("x", "a")], "doc_id string, text string"), bpe.vocabulary("word_bpe_49k.json"))
+
+
+def test_language_query_end_to_end(spark):
+    """Texts of invented languages, against a plain model of the same letters: what is said, of whom, and how sure."""
+    rng = random.Random(7)
+    letters = {"aa": "abcdefg", "bb": "hijklmn", "cc": "opqrstu"}
+    rows, n = [], 240
+    for i in range(n):
+        lang = ("aa", "bb", "cc")[i % 3]
+        rows.append((i, " ".join("".join(rng.choices(letters[lang], k=rng.randint(3, 8))) for _ in range(40)), lang))
+    rows += [(n, None, "aa"), (n + 1, "12 !!", "bb"), (n + 2, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, ~queries.held_out())
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    assert len(got) == len(rows)
+    for i, _, lang in rows[:n]:
+        assert got[i]["lang_pred"] == lang and got[i]["score"] > 0.95
+    assert all(got[n + j]["lang_pred"] == "und" and got[n + j]["score"] == 0 for j in range(3))
+    half = spark.createDataFrame([(1, rows[0][1] + " " + rows[1][1])], "doc_id long, text string")
+    one = langid.identify(half, model, spans=True).first()
+    want = max(len(rows[0][1].replace(" ", "")), len(rows[1][1].replace(" ", ""))) / len((rows[0][1] + rows[1][1]).replace(" ", ""))
+    assert one["score"] == pytest.approx(want, abs=0.02) and [s["lang"] for s in one["spans"]] == ["aa", "bb"]
+    many = spark.createDataFrame([(i, "abc", f"l{i}") for i in range(langid.MOST_LANGUAGES + 1)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.learn(many)
+
+
 def test_room_tree_is_best_fit():
     rng = random.Random(3)
     tree, rooms = bestfit.RoomTree(50), []
