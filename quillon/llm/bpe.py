@@ -331,7 +331,7 @@ class Bpe:
 
     def _split_all(self, chunks: list[bytes], wide: bool) -> tuple[pa.DictionaryArray, np.ndarray]:
         """Words of all chunks end to end, and each chunk's number of words; no chunk holds MARK. wide: some go beyond _WIDE."""
-        text = MARK.join(x.decode("utf-8", "replace") for x in chunks)
+        text = _MARK.join(chunks).decode("utf-8", "replace")
         if self.words_only:
             text = _normal(text) if wide else text.lower()
         coded = pa.array(self.marked.findall(text), pa.large_string()).dictionary_encode()
@@ -361,21 +361,34 @@ class Bpe:
 
     def _learn(self, new: list[bytes]) -> None:
         """Encode chunks not met before and remember them."""
-        special = [x for x in new if b"<|" in x and any(s.encode() in x for s in self.special)]
-        rest = [x for x in new if x not in set(special)] if special else new
-        near, far = rest, []
-        if max(map(max, rest), default=0) >= _WIDE:
-            near, far = [x for x in rest if max(x) < _WIDE], [x for x in rest if max(x) >= _WIDE]
-            plain = [self._plain(x) for x in far]
-            special, far = special + [x for x, p in zip(far, plain, strict=True) if not p], [x for x, p in zip(far, plain, strict=True) if p]
-        got = [self._encode_plain(near, False), self._encode_plain(far, True)]
+        near, far, special, whole = new, [], [], b"".join(new)
+        if b"<|" in whole:
+            special = [x for x in new if b"<|" in x and any(s.encode() in x for s in self.special)]
+            near = [x for x in new if x not in set(special)] if special else new
+        if np.frombuffer(whole, np.uint8).max(initial=0) >= _WIDE:
+            high = [x for x in near if not x.isascii() and max(x) >= _WIDE]
+            near = [x for x in near if x.isascii() or max(x) < _WIDE]
+            plain = [self._plain(x) for x in high]
+            special, far = special + [x for x, p in zip(high, plain, strict=True) if not p], [x for x, p in zip(high, plain, strict=True) if p]
+        # ASCII letters and one blank, after a word or (byte-level) before it, are one word: most chunks need no splitting
+        if self.words_only:
+            easy = [x[:-1].isalpha() and x[-1] in b" \n\t\r" for x in near]
+            words = b"".join([x[:-1] for x, e in zip(near, easy, strict=True) if e]).lower()
+        else:
+            easy = [x[:1] == b" " and x[1:].isalpha() for x in near]
+            words = b"".join([x for x, e in zip(near, easy, strict=True) if e])
+        simple = [x for x, e in zip(near, easy, strict=True) if e]
+        near = [x for x, e in zip(near, easy, strict=True) if not e]
+        sizes = np.fromiter(map(len, simple), np.int64, len(simple)) - self.words_only
+        found = self.words(np.frombuffer(words, np.uint8), np.concatenate([[0], np.cumsum(sizes)])) if simple else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        got = [found, self._encode_plain(near, False), self._encode_plain(far, True)]
         for x in special:
             ids = np.array(self._exact(x.decode("utf-8", "replace")), np.int32)
             got.append((ids, np.array([len(ids)], np.int64)))
         flat_ids, lens = (np.concatenate(x) for x in zip(*got, strict=True))
-        new = near + far + special
+        new = simple + near + far + special
         base, first = len(self.slot_ids), len(self.slots)
-        self.slots.update((x, first + i) for i, x in enumerate(new))
+        self.slots.update(zip(new, range(first, first + len(new)), strict=True))
         self.slot_ids = np.concatenate([self.slot_ids, flat_ids])
         self.slot_len = np.concatenate([self.slot_len, lens])
         self.slot_at = np.concatenate([self.slot_at, base + np.cumsum(lens) - lens])
@@ -403,12 +416,16 @@ class Bpe:
         bounds = np.append(starts, len(data)).astype(np.int64)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
         coded = chunks.dictionary_encode()
-        seen = coded.dictionary.to_pylist()
-        known = self.slots
-        new = [x for x in seen if x not in known]
-        if new:
-            self._learn(new)
-        slot = np.fromiter(map(self.slots.__getitem__, seen), np.int64, len(seen))
+        raw, cut = flat(coded.dictionary)
+        raw, cut = raw.tobytes(), cut.tolist()
+        seen = [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        slots = list(map(self.slots.get, seen))
+        missing = [i for i, x in enumerate(slots) if x is None]
+        if missing:
+            self._learn([seen[i] for i in missing])
+            for i in missing:
+                slots[i] = self.slots[seen[i]]
+        slot = np.array(slots, np.int64)
         return slot[coded.indices.to_numpy(zero_copy_only=False)], np.searchsorted(starts, off)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
