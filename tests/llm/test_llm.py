@@ -802,3 +802,39 @@ def test_fingerprints_of_near_sets_are_near():
         far.append(np.bitwise_count(fp[0:-2:2] ^ fp[2::2]) > jaccard.most_bits(0.8))
     assert np.concatenate(far).mean() > 0.9
     assert fp[0] == sum(1 << i for i in range(64) if 2 * sum(int(x) >> i & 1 for x in sets[0]) > n)
+
+
+def test_a_group_of_near_copies_is_compared_in_blocks(spark, monkeypatch):
+    """A cluster of many shingles goes to tasks by two blocks at a time; chains of links over blocks stay whole."""
+    from quillon.llm import jaccard
+
+    rng = np.random.default_rng(8)
+    root, node = np.repeat(np.array([-7, 3, 40], np.int64), [400, 5, 30]), rng.integers(-(1 << 62), 1 << 62, 435)
+    blocks = np.repeat(np.array([8, 1, 2]), [400, 5, 30])
+    row, unit = jaccard.units(root, node, blocks)
+    of = [set(unit[row == i].tolist()) for i in range(435)]
+    assert all(of[i] & of[j] if root[i] == root[j] else not of[i] & of[j] for i in range(435) for j in range(i))
+    assert np.unique(unit[root[row] == -7], return_counts=True)[1].max() < 400 * 2 / 8 * 1.5
+    monkeypatch.setattr(jaccard, "BLOCK", 300)
+    words, rows = [f"w{i}" for i in range(60)], []
+    for i in range(90):  # each is near the next, the ends are not near each other
+        words = [*words[1:], f"x{i}"]
+        rows += [(i, " ".join(words)), (500 + i, " ".join(words[:30]) + f" other {i % 9}")]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    group = _first_of_near_copies(rows)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_groups(made).collect()} == group and len(set(group.values())) > 1
+
+
+def test_few_pairs_are_held_under_a_shingle_that_many_near_copies_share(monkeypatch):
+    """Pairs of a group that is connected already are not gathered: they are half the square of its sets."""
+    from quillon.llm import jaccard
+
+    gathered = []
+    monkeypatch.setattr(jaccard, "forest", lambda a, b: gathered.append(len(a)) or components.forest(a, b))
+    many = 3000
+    node, same = np.arange(many, dtype=np.int64), np.zeros(many, np.int64)
+    a, b = jaccard._meeting(same.astype(np.uint64), node, same + 100, same, same.astype(np.uint64), 0.8)
+    assert sorted(a.tolist()) == list(range(1, many)) and not b.any() and sum(gathered) < 10 * many
+    fp = np.where(node % 2 == 0, 0, (1 << 64) - 1).astype(np.uint64)  # two groups that alternate
+    a, b = jaccard._meeting(same.astype(np.uint64), node, same + 100, same, fp, 0.8)
+    assert sorted(a.tolist()) == list(range(2, many)) and (b == a % 2).all()
