@@ -24,6 +24,8 @@ _U = np.uint64
 LOW = _U(0xFFFFFFFF)
 #: Distinct fingerprints under one segment value from which its keys are split.
 HOT = 1024
+#: Pairs that a task holds before it contracts them.
+HELD = 500_000
 #: Fingerprints whose signatures a task deals out at a time.
 EMITTED = 10_000
 
@@ -98,16 +100,17 @@ def _near(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, n
     key, fp = key[order], fp[order]
     last = np.flatnonzero(np.append(key[1:] != key[:-1], True))
     end = last[np.searchsorted(last, np.arange(len(key)))]
-    a, b = [], []
+    a, b, held = [], [], 0
     live, gap = np.flatnonzero(end > np.arange(len(key))), 1
     while len(live):
         near = np.bitwise_count(fp[live] ^ fp[live + gap]) <= distance
         if near.any():
             a.append(fp[live[near]])
             b.append(fp[live[near] + gap])
-            if sum(map(len, a)) > 4_000_000:
+            held += int(near.sum())
+            if held > HELD:
                 x, y = forest(np.concatenate(a), np.concatenate(b))
-                a, b = [x], [y]
+                a, b, held = [x], [y], 0
         gap += 1
         live = live[end[live] >= live + gap]
     if not a:

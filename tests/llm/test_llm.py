@@ -838,3 +838,28 @@ def test_few_pairs_are_held_under_a_shingle_that_many_near_copies_share(monkeypa
     fp = np.where(node % 2 == 0, 0, (1 << 64) - 1).astype(np.uint64)  # two groups that alternate
     a, b = jaccard._meeting(same.astype(np.uint64), node, same + 100, same, fp, 0.8)
     assert sorted(a.tolist()) == list(range(2, many)) and (b == a % 2).all()
+
+
+def test_near_duplicate_stage_finds_near_fingerprints_by_deletion_variants(spark, sf_dir, monkeypatch):
+    """Sets within 3 bits are candidates by SimHash signatures alone; those farther apart by prefixes."""
+    import corpus_pipeline as p
+    from quillon.llm import jaccard
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(0, 60, 2):
+        words = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        rows.append((i, " ".join(words)))
+        for j in range(1 if i % 4 else 6):
+            words[150 + 8 * j] = f"x{i}"
+        rows.append((i + 1, " ".join(words)))
+    made = spark.createDataFrame([*rows, (200, ""), (201, None), (202, rows[0][1].replace(" ", "\n"))], "doc_id long, text string")
+    fp = jaccard.prints(*jaccard.shingles(pa.array([t for _, t in rows]), 5), len(rows))
+    apart = np.bitwise_count(fp[0::2] ^ fp[1::2])
+    assert (apart <= jaccard.SIGNED).any() and (apart > jaccard.SIGNED).any()
+    asked = []
+    monkeypatch.setattr(jaccard, "near_edges", lambda distinct, distance: asked.append(distance) or simhash.near_edges(distinct, distance))
+    assert {r["doc_id"] for r in p.near_duplicates(spark, made, sf_dir).collect()} == {*range(0, 60, 2), 200} and asked == [jaccard.SIGNED]
+    monkeypatch.setattr(jaccard, "near_edges", lambda *_: spark.createDataFrame([], "a long, b long"))
+    kept = {r["doc_id"] for r in p.near_duplicates(spark, made, sf_dir).collect()}
+    assert kept == {*range(0, 60, 2), 200} | {2 * i + 1 for i in range(30) if 0 < apart[i] <= jaccard.SIGNED}
