@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,12 +58,15 @@ class CountMatrix:
         return cells.join(self.counts if table is None else table, ["obs_id", "var_id"], "left").withColumn("value", F.coalesce("value", F.lit(0)))
 
     def feature_major(self, table: DataFrame | None = None) -> DataFrame:
-        """(var_id, x array<double>), x in the order of obs.ord, absent cells 0."""
+        """(var_id, ord, x array<double>), x in the order of obs.ord, absent cells 0.
+
+        A feature's cells are gathered as they are and put in their places by numpy: work grows with the cells, and a task
+        holds about CELLS of them at a time.
+        """
         values = (self.counts if table is None else table).join(self.obs.select("obs_id", "ord"), "obs_id")
-        n = F.lit(self.obs.count())
-        held = values.groupBy("var_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("ord").cast("long"), F.col("value").cast("double")))).alias("m"))
-        filled = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-        return self.var.select("var_id", F.col("ord")).join(held, "var_id", "left").select("var_id", "ord", F.coalesce(F.when(F.col("m").isNotNull(), filled), F.array_repeat(F.lit(0.0), n)).alias("x"))
+        n = self.obs.count()
+        held = values.groupBy("var_id").agg(F.collect_list(F.struct(F.col("ord").cast("long").alias("at"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("v"))).alias("held"))
+        return self.var.select("var_id", F.col("ord").cast("long").alias("ord")).join(held, "var_id", "left").mapInArrow(_filled(n), "var_id string, ord long, x array<double>")
 
     def write(self, path: str) -> None:
         """One Parquet folder for each slot."""
@@ -74,6 +80,32 @@ class CountMatrix:
         return cls(load("obs"), load("var"), load("counts"), *({n: load(f"{k}.{n}") for n in names} for k, names in (("layers", layers), ("obsm", obsm), ("uns", uns))))
 
 
+#: Cells of arrays that a task fills before it hands them on.
+CELLS = 1 << 20
+
+
+def _filled(n: int):
+    """A function over batches (var_id, ord, held: entries at, v) that puts each row's entries into an array of n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // max(n, 1))
+        for whole in batches:
+            for i in range(0, whole.num_rows, step):
+                b = whole.slice(i, step)
+                x, held = np.zeros((b.num_rows, n)), b.column("held")
+                entries = held.flatten()
+                row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False))
+                at = entries.field("at").to_numpy(zero_copy_only=False)
+                ok = (at >= 0) & (at < n)
+                flat = row[ok] * n + at[ok].astype(np.int64)
+                if len(np.unique(flat)) < len(flat):
+                    raise ValueError("a cell is there more than once")
+                x.ravel()[flat] = entries.field("v").to_numpy(zero_copy_only=False)[ok]
+                yield pa.RecordBatch.from_arrays([b.column("var_id"), b.column("ord"), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * n, pa.int32()), pa.array(x.ravel()))], names=["var_id", "ord", "x"])
+
+    return run
+
+
 def from_arrays(spark: SparkSession, counts: np.ndarray, row_names=None, col_names=None, input_counts: np.ndarray | None = None, random_counts: np.ndarray | None = None, random_input: np.ndarray | None = None) -> CountMatrix:
     """A matrix from arrays (observations x features); names become strings and default to ordinals.
 

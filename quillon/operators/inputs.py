@@ -11,7 +11,8 @@ from ..functions.scalar import rescale_piecewise
 def reference_lfc(random: DataFrame) -> DataFrame:
     """(obs_id, lfc, low): ln of signal over input in the background.
 
-    random: (obs_id, var_id, value, input), dense. Places go by signal ascending, then by input descending; the
+    random: (obs_id, var_id, value, input), dense, or with one of the places of an observation that are 0 in both for all
+    of them. Places go by signal ascending, then by input descending; the
     background ends where the input's share leads the signal's by most (the first such place). Where either sum is
     10 or less there, low is true and the sums over all places count.
     """

@@ -7,11 +7,13 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import log_gamma, nb_log_pmf, nb_sf, nb_sf_col, normal_isf
-from ..model import CountMatrix
+from ..model import CELLS, CountMatrix
+from ..sources.tables import settle
 from .matrix import feature_moments, feature_moments_factors
 from .scan import bh_fdr
 
@@ -21,34 +23,63 @@ _ALPHA_LOW, _ALPHA_HIGH = 1e-5, 1e5
 _VALID = (1e-3, 1e3)
 
 
-def fit_mean(y: np.ndarray, exposure: np.ndarray, design: np.ndarray, alpha: float, rounds: int = 100) -> np.ndarray:
-    """Fitted means of a negative binomial regression with log link, by iteratively reweighted least squares."""
-    mu = np.maximum((y + y.mean()) / 2, 1e-8) + 1e-8
-    eta = np.log(mu)
+def fit_mean(y: np.ndarray, exposure: np.ndarray, design: np.ndarray, alpha: float, rounds: int = 100, weight: np.ndarray | None = None) -> np.ndarray:
+    """Fitted means of a negative binomial regression with log link, by iteratively reweighted least squares.
+
+    weight: how often each row counts, once by default.
+    """
+    mu = np.maximum((y + np.average(y, weights=weight)) / 2, 1e-8) + 1e-8
+    often = 1.0 if weight is None else weight
+    eta, base, flat = np.log(mu), np.log(exposure), _constant(design)
     beta = None
     for _ in range(rounds):
         w = mu / (1 + alpha * mu)
-        z = eta - np.log(exposure) + (y - mu) / mu
-        xtw = design.T * w
-        new = np.linalg.lstsq(xtw @ design, xtw @ z, rcond=None)[0]
-        eta = np.clip(design @ new + np.log(exposure), -300, 300)
-        mu = np.exp(eta)
+        if beta is not None and flat:  # the same step, without logs: the linear predictor is one number
+            new = beta + np.array([(often * (y - mu) / (1 + alpha * mu)).sum() / (often * w).sum()])
+        else:
+            z = eta - base + (y - mu) / mu
+            xtw = design.T * (w * often)
+            new = np.linalg.lstsq(xtw @ design, xtw @ z, rcond=None)[0]
+        if flat and abs(new[0]) < 200:
+            mu = np.exp(new[0]) * exposure
+        else:
+            eta = np.clip(design @ new + base, -300, 300)
+            mu = np.exp(eta)
         if beta is not None and np.abs(new - beta).max() < 1e-12:
             break
         beta = new
     return mu
 
 
+def _constant(design: np.ndarray) -> bool:
+    """Whether a design is an intercept alone."""
+    return design.shape[1] == 1 and bool((design == 1).all())
+
+
+def _distinct(y: np.ndarray, exposure: np.ndarray, design: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(y, exposure, design, weight, back): rows that a fit cannot tell apart once, how many they are, and every row's place among them."""
+    if not _constant(design):
+        return y, exposure, design, np.ones(len(y)), np.arange(len(y))
+    order = np.lexsort((y, exposure))
+    new = np.append(True, (np.diff(y[order]) != 0) | (np.diff(exposure[order]) != 0))[: len(order)]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    first = order[new]
+    return y[first], exposure[first], np.ones((len(first), 1)), np.bincount(back, minlength=len(first)).astype(float), back
+
+
 def fit_alpha(y: np.ndarray, exposure: np.ndarray, design: np.ndarray) -> tuple[float, bool]:
     """The dispersion of greatest likelihood, and whether it lies inside the searched range."""
     if y.sum() <= 0:
         return float("nan"), False
+    y, exposure, design, weight, _ = _distinct(y, exposure, design)
+    values, which = np.unique(y, return_inverse=True)
 
     def loglik(ln_alpha: float) -> float:
         alpha = float(np.exp(ln_alpha))
-        mu = fit_mean(y, exposure, design, alpha, 30)
+        mu = fit_mean(y, exposure, design, alpha, 30, weight)
         n = 1 / alpha
-        return float((log_gamma(y + n) - log_gamma(np.full_like(y, n)) + n * np.log(n / (n + mu)) + y * np.log(mu / (n + mu))).sum())
+        return float((weight * (log_gamma(values + n)[which] - log_gamma(np.array([n]))[0] - n * np.log1p(alpha * mu) + y * np.log(mu / (n + mu)))).sum())
 
     low, high, ratio = np.log(_ALPHA_LOW), np.log(_ALPHA_HIGH), (5**0.5 - 1) / 2
     a, b = high - ratio * (high - low), low + ratio * (high - low)
@@ -112,6 +143,7 @@ def regularised_alpha(features: DataFrame, exposure: np.ndarray, design: np.ndar
     the value at every rank. All features get theirs.
     """
     spark, n = features.sparkSession, features.count()
+    common = spark.sparkContext.broadcast(exposure)
     # ranks by two steps: a feature's tile of means, then its place in the tile
     from .scan import _tiled
 
@@ -124,7 +156,7 @@ def regularised_alpha(features: DataFrame, exposure: np.ndarray, design: np.ndar
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = b["e"] if "e" in b.columns else [exposure] * len(b)
+            own = b["e"] if "e" in b.columns else [common.value] * len(b)
             got = [fit_alpha(np.asarray(x, float), np.asarray(e, float), design) for x, e in zip(b["x"], own, strict=True)]
             yield pd.DataFrame({"mean_rank": b["mean_rank"].to_numpy(np.int64), "alpha": [a if ok else np.nan for a, ok in got]})
 
@@ -151,29 +183,41 @@ def residuals(features: DataFrame, alphas: DataFrame, obs_ids: list[str], exposu
     feature's own exposure in place of the common one."""
     own = "e" in features.columns
     joined = features.select("var_id", "x", *["e"] * own).join(alphas.select("var_id", "reg_alpha"), "var_id")
+    spark, n = features.sparkSession, len(obs_ids)
+    # by cells, as what is shuffled is mostly zeros and looks small
+    joined = joined.repartition(int(min(4096, max(spark.sparkContext.defaultParallelism, features.count() * n // CELLS))))
+    shared = spark.sparkContext.broadcast((pa.array(obs_ids, pa.string()), exposure))
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, common = shared.value
         for b in batches:
-            parts = []
-            for i in range(len(b)):
-                y = np.asarray(b["x"].iloc[i], float)
-                e = np.asarray(b["e"].iloc[i], float) if own else exposure
-                r = residual(y, fit_mean(y, e, design, float(b["reg_alpha"].iloc[i])), float(b["reg_alpha"].iloc[i]), kind) if y.sum() > 0 else np.zeros(len(y))
-                parts.append(r - r.mean() if centre else r)
-            if parts:
-                yield pd.DataFrame({"obs_id": np.tile(np.array(obs_ids, object), len(b)), "var_id": np.repeat(b["var_id"].to_numpy(object), len(obs_ids)), "value": np.concatenate(parts)})
+            for i in range(b.num_rows):
+                one = lambda c: b.column(c)[i].values.to_numpy(zero_copy_only=False).astype(float)  # noqa: B023, E731
+                y, alpha = one("x"), float(b.column("reg_alpha")[i].as_py())
+                if y.sum() > 0:
+                    e = one("e") if own else common
+                    y, e, x, weight, back = _distinct(y, e, design) if kind != "rqr" else (y, e, design, None, slice(None))
+                    r = residual(y, fit_mean(y, e, x, alpha, weight=weight), alpha, kind)[back]
+                else:
+                    r = np.zeros(len(y))
+                yield pa.RecordBatch.from_arrays([names, pa.repeat(b.column("var_id")[i], n), pa.array(r - r.mean() if centre else r)], names=["obs_id", "var_id", "value"])
 
-    return joined.mapInPandas(fit, "obs_id string, var_id string, value double")
+    return joined.mapInArrow(fit, "obs_id string, var_id string, value double")
 
 
 def finish(raw: DataFrame, clip: float | None = None) -> DataFrame:
-    """Clip to +-clip, divide each observation by its length, and give the whole table its former deviation back."""
-    r = raw if clip is None else raw.withColumn("value", F.greatest(F.lit(-clip), F.least(F.lit(clip), F.col("value"))))
-    std = r.agg(F.stddev_pop("value").alias("_s0"))
-    length = r.groupBy("obs_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_l"))
-    unit = r.join(length, "obs_id").withColumn("value", F.when(F.col("_l") > 0, F.col("value") / F.col("_l")).otherwise(0.0)).drop("_l")
-    after = unit.agg(F.stddev_pop("value").alias("_s1"))
-    return unit.join(F.broadcast(std)).join(F.broadcast(after)).select("obs_id", "var_id", F.when(F.col("_s1") > 0, F.col("value") * F.col("_s0") / F.col("_s1")).otherwise(F.col("value")).alias("value"))
+    """Clip to +-clip, divide each observation by its length, and give the whole table its former deviation back.
+
+    The residuals are written once and read twice; lengths and both deviations come from one row of sums for each observation.
+    """
+    r = settle(raw if clip is None else raw.withColumn("value", F.greatest(F.lit(-clip), F.least(F.lit(clip), F.col("value")))))
+    length = settle(r.groupBy("obs_id").agg(F.count("*").alias("_k"), F.sum("value").alias("_s"), F.sum(F.col("value") * F.col("value")).alias("_q")).withColumn("_l", F.sqrt("_q")))
+    over = F.col("_l") > 0
+    deviation = lambda s, q: F.sqrt(F.greatest(F.lit(0.0), F.sum(q) / F.sum("_k") - F.pow(F.sum(s) / F.sum("_k"), F.lit(2.0))))
+    both = length.agg(deviation(F.col("_s"), F.col("_q")).alias("_s0"), deviation(F.when(over, F.col("_s") / F.col("_l")).otherwise(0.0), over.cast("double")).alias("_s1"))
+    scale = F.when(F.col("_s1") > 0, F.col("_s0") / F.col("_s1")).otherwise(1.0)
+    factor = length.join(F.broadcast(both)).select("obs_id", F.when(over, scale / F.col("_l")).otherwise(0.0).alias("_f"))
+    return r.join(F.broadcast(factor), "obs_id").select("obs_id", "var_id", (F.col("value") * F.col("_f")).alias("value"))  # a row for each observation, which the driver holds too
 
 
 def compute_residuals(m: CountMatrix, design: np.ndarray | None = None, kind: str = "quantile", clip: float | str | None = None, sample: int = 2000) -> CountMatrix:
@@ -197,7 +241,7 @@ def compute_residuals(m: CountMatrix, design: np.ndarray | None = None, kind: st
         raise ValueError(f"a design of {len(design)} rows for {n} observations")
     features = m.feature_major()
     if own:
-        factors = m.layers["normalization_factors"]
+        factors = settle(m.layers["normalization_factors"])
         moments = feature_moments_factors(m.dense(), factors)
         mean = factors.agg(F.avg("factor").alias("_mean"))
         scaled = factors.join(F.broadcast(mean)).select("obs_id", "var_id", (F.col("factor") / F.col("_mean")).alias("value"))
@@ -206,8 +250,8 @@ def compute_residuals(m: CountMatrix, design: np.ndarray | None = None, kind: st
     else:
         moments = feature_moments(m.counts, m.obs, n)
         exposure = held["size_factor"].to_numpy(float)
-    features = features.join(moments, "var_id", "left").na.fill(0.0, ["mean", "variance"])
-    alphas = regularised_alpha(features, exposure, design, sample)
+    features = settle(features.join(moments, "var_id", "left").na.fill(0.0, ["mean", "variance"]))  # counted, ranked, fitted and read again
+    alphas = settle(regularised_alpha(features, exposure, design, sample))
     raw = residuals(features, alphas, held["obs_id"].tolist(), exposure, design, kind)
     done = finish(raw, float(np.sqrt(9 + n / 4)) if clip == "auto" else clip)
     var = m.var.drop("mean", "variance", "reg_alpha").join(features.select("var_id", "mean", "variance"), "var_id").join(alphas.select("var_id", "reg_alpha"), "var_id", "left")
