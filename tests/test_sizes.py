@@ -143,3 +143,31 @@ def test_places_without_signal_and_input_are_one(spark, sf_dir):
     assert few.count() < 0.8 * dense.count()
     assert sorted(inputs.reference_lfc(few).collect()) == sorted(inputs.reference_lfc(dense).collect())
     assert few.where("value = 0 and input = 0").count() == few.select("obs_id").distinct().count()
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "correlation"])
+def test_neighbours_of_blocks_of_queries(spark, monkeypatch, metric):
+    """All pairs, in blocks of queries that never gather on the driver; ties, copies and far-off means too."""
+    from quillon.operators import graph
+
+    for name, value in (("QUERY_BLOCK", 70), ("QUERY_STEP", 16), ("ROW_STEP", 50)):
+        monkeypatch.setattr(graph, name, value)
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda self: pytest.fail("rows were gathered"))
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.integers(0, 3, (150, 4)), rng.normal(0, 1e-4, (100, 4)) + 1000.0, np.repeat(rng.normal(size=(1, 4)), 40, 0)]).astype(float)
+    x[:150] += [0, 0, 0, 0.5]
+    rows = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(5)
+    k, z = 7, graph._prepare(x, metric)
+    ask = rows.where("id % 2 = 0")
+    for queries, same in ((None, True), (ask, False)):
+        got = {}
+        for r in graph.knn(rows, k, metric, queries).orderBy("src", "rank").collect():
+            got.setdefault(r["src"], []).append((r["distance"], r["dst"]))
+        assert len(got) == (len(x) if same else ask.count())
+        for s, found in got.items():
+            i = s // 3
+            d = np.sqrt(((z[i] - z) ** 2).sum(1)) if metric == "euclidean" else 1 - (z[i] * z).sum(1)
+            want = sorted((float(v), 3 * j) for j, v in enumerate(d) if not (same and j == i))[:k]
+            assert np.allclose([v for v, _ in found], [v for v, _ in want], rtol=1e-12, atol=1e-15)
+            if metric == "euclidean":
+                assert found == want
