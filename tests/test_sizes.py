@@ -171,3 +171,17 @@ def test_neighbours_of_blocks_of_queries(spark, monkeypatch, metric):
             assert np.allclose([v for v, _ in found], [v for v, _ in want], rtol=1e-12, atol=1e-15)
             if metric == "euclidean":
                 assert found == want
+
+
+def test_partitions_and_layouts_are_made_by_tasks(spark, monkeypatch):
+    """The driver gathers neither the edges of a graph nor the rows of a layout."""
+    from quillon.operators import embedding, graph
+
+    edges = [(10 * c + i, 10 * c + j, 1.0) for c in range(6) for i in range(10) for j in range(10) if i != j] + [(10 * c, (10 * c + 10) % 60, 1.0) for c in range(6)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double").repartition(3)
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i // 7)]) for i in range(60)], "id long, vec array<double>")
+    monkeypatch.setattr(type(df), "toPandas", lambda self: pytest.fail("rows were gathered"))
+    got = {r["id"]: r["label"] for r in graph.leiden(df, restarts=3).collect()}
+    assert len(got) == 60 and len(set(got.values())) == 6 and all(got[10 * c + i] == got[10 * c] for c in range(6) for i in range(10))
+    at = embedding.layout_rows(rows, df.withColumnRenamed("weight", "distance"), epochs=5).collect()
+    assert sorted(r["id"] for r in at) == list(range(60))
