@@ -15,6 +15,10 @@ from ..sources.tables import settle
 TILE_ROWS, TILES = 1 << 20, 4096
 
 
+#: Rows of whole families of tests in one task, about.
+FAMILY_ROWS = 1 << 18
+
+
 def _tiled(df: DataFrame, by: str) -> DataFrame:
     """df with _tile: number of cut points at or under the value; cut points are approximate quantiles, as many as the rows call for."""
     tiles = min(TILES, max(8, df.count() // TILE_ROWS))
@@ -40,6 +44,9 @@ def bh_fdr(df: DataFrame, p: str, out: str, within: list[str] | None = None) ->
     within: columns that separate families of tests, each adjusted on its own. Ties get the same value.
     """
     if within:
+        df = settle(df)
+        # families by their hash, about FAMILY_ROWS to a task however small they look when compressed
+        df = df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.count() // FAMILY_ROWS), *within)
         up = Window.partitionBy(*within).orderBy(p)
         family = Window.partitionBy(*within)
         down = Window.partitionBy(*within).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0)

@@ -185,3 +185,18 @@ def test_partitions_and_layouts_are_made_by_tasks(spark, monkeypatch):
     assert len(got) == 60 and len(set(got.values())) == 6 and all(got[10 * c + i] == got[10 * c] for c in range(6) for i in range(10))
     at = embedding.layout_rows(rows, df.withColumnRenamed("weight", "distance"), epochs=5).collect()
     assert sorted(r["id"] for r in at) == list(range(60))
+
+
+def test_families_of_tests_go_to_as_many_tasks_as_they_call_for(spark, monkeypatch):
+    """However well rows compress, a task gets about as many as it should."""
+    from quillon.operators import scan
+
+    monkeypatch.setattr(scan, "FAMILY_ROWS", 100)
+    df = spark.range(6000).select((F.col("id") % 300).alias("g"), ((F.col("id") * 7919 % 997) / 997.0).alias("p"))
+    got = scan.bh_fdr(df, "p", "q", ["g"])
+    most = got.withColumn("t", F.spark_partition_id()).groupBy("t").count().agg(F.max("count")).first()[0]
+    assert most <= 400 and got.count() == 6000
+    for g, one in got.toPandas().groupby("g"):
+        p = np.sort(one["p"].to_numpy())
+        raw = p * len(p) / np.searchsorted(p, p, side="right")
+        assert np.allclose(np.sort(one["q"]), np.minimum(1, np.minimum.accumulate(raw[::-1])[::-1]))
